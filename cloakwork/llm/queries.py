@@ -7,6 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 from cloakwork.llm.common import table
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakwork.llm.exact_dedup import exact_dedup
 
@@ -19,6 +37,36 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("group_size")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.piece_codec import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cloakwork.llm.token_store import read, write
+
+    return read(write(table(spark, sf_dir, "documents"), byte_model()))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cloakwork.llm.decontaminate import decontaminate
 
@@ -31,7 +79,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_simhash_near_dedup, op9_benchmark_decontamination, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_exact_dedup, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_sentencepiece,
+    op6_toxicity, op7_quality_classifier, op8_token_ids, op9_benchmark_decontamination, op10_secret_scans,
+)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": """
