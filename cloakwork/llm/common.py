@@ -76,6 +76,25 @@ def sub_batches(batches, column: str = "text", most: int = 4 << 20):
         yield b.slice(at)
 
 
+class Memory:
+    """What a worker has met before: at most about `most` keys, of which those not asked for lately go first."""
+
+    def __init__(self, most: int):
+        self.young, self.old, self.most = {}, {}, most
+
+    def missing(self, keys: set) -> list:
+        """The keys that it doesn't have; the others are in `young` then."""
+        if 2 * len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        out, young, old = [], self.young, self.old
+        for k in keys.difference(young):
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                young[k] = v
+        return out
+
+
 def mixer(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit words by the splitmix64 rule."""
     with np.errstate(over="ignore"):

@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import batch, materialise, sub_batches, texts
+from cloakwork.llm.common import Memory, batch, materialise, sub_batches, texts
 
 #: A text of more characters is giant; characters in a chunk of it.
 GIANT, CHUNK = 65_536, 32_768
 #: Words whose ids a worker keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_200_000
 SPACE = "▁"
 
 _IDS = pa.list_(pa.int32())
@@ -54,7 +54,7 @@ class Codec:
     def __init__(self, path: str):
         import sentencepiece
 
-        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), {}
+        self.model, self.known = sentencepiece.SentencePieceProcessor(model_file=path), Memory(MOST_KEPT)
         n = self.model.get_piece_size()
         special = [self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i) for i in range(n)]
         self.pieces = {self.model.id_to_piece(i): i for i in range(n) if not special[i]}
@@ -67,23 +67,16 @@ class Codec:
 
     # Ordinary texts and stretches
 
-    def encode(self, some: list[str]) -> list[list[int]]:
-        """The library's ids of each text."""
-        known, words, new = self.known, [], {}
-        if len(known) > MOST_KEPT:
-            known.clear()
-        for text in some:
-            words.append(text.split(" ") if text and not _HARD.search(text) else None)
-            if words[-1]:
-                new.update((w, None) for w in words[-1] if w not in known)
-        asked = list(new)
+    def encode(self, some: list[str]) -> list[bytes]:
+        """The library's ids of each text, as little-endian 32-bit integers."""
+        words = [text.split(" ") if text and not _HARD.search(text) else None for text in some]
+        asked = self.known.missing(set().union(*filter(None, words)))
+        known = self.known.young
         for at in range(0, len(asked), 4096):
             part = asked[at : at + 4096]
-            known.update(zip(part, self.model.encode(part, num_threads=1)))
-        out = []
-        for text, parts in zip(some, words):
-            out.append([i for w in parts for i in known[w]] if parts else self.model.encode(text, num_threads=1) if text else [])
-        return out
+            known.update((w, np.array(i, "<i4").tobytes()) for w, i in zip(part, self.model.encode(part, num_threads=1)))
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) if parts else np.array(self.model.encode(text, num_threads=1) if text else [], "<i4").tobytes() for text, parts in zip(some, words)]
 
     # Max-plus scan
 
@@ -101,7 +94,7 @@ class Codec:
     def compatible(self, a: str, b: str) -> bool:
         """Whether the model leaves pieces a and b when it is given their text."""
         if (got := self._pairs.get((a, b))) is None:
-            if len(self._pairs) > MOST_KEPT:
+            if len(self._pairs) > MOST_KEPT // 2:
                 self._pairs.clear()
             got = self._pairs[a, b] = self.merged(list(a + b)) == [a, b]
         return got
@@ -233,11 +226,11 @@ def chunks(text: str, size: int, longest: int):
         yield {"body": normal[low : b + longest], "a": a - low, "b": b - low, "own": text[max(0, a - 1) : b - 1]}
 
 
-def _coded(model: Codec, ids: list[list[int]], some: list[bytes], docs) -> pa.RecordBatch:
-    decoded = [t.encode() for t in model.model.decode(ids, num_threads=1)] if ids else []
-    flat, sizes = [np.array(i, "<i4") for i in ids], [len(i) for i in ids]
-    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)]).astype(np.int32)))
-    return batch(_CODED, [docs, column, sizes, [zlib.crc32(f) for f in flat], [hashlib.sha256(d).hexdigest() for d in decoded], [d == t for d, t in zip(decoded, some)]])
+def _coded(model: Codec, ids: list[bytes], some: list[bytes], docs) -> pa.RecordBatch:
+    decoded = [t.encode() for t in model.model.decode([np.frombuffer(i, "<i4").tolist() for i in ids], num_threads=1)] if ids else []
+    sizes = [len(i) // 4 for i in ids]
+    column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return batch(_CODED, [docs, column, sizes, [zlib.crc32(i) for i in ids], [hashlib.sha256(d).hexdigest() for d in decoded], [d == t for d, t in zip(decoded, some)]])
 
 
 def _encode(path: str):
@@ -277,8 +270,7 @@ def _encode_stretches(path: str):
     def run(batches):
         model = codec(path)
         for b in sub_batches(batches, "body"):
-            parts = [np.array(i, "<i4").tobytes() for i in model.encode(b.column("body").to_pylist())]
-            yield batch(_PARTS, [b.column("key"), b.column("doc_id"), b.column("seq"), b.column("k"), parts])
+            yield batch(_PARTS, [b.column("key"), b.column("doc_id"), b.column("seq"), b.column("k"), model.encode(b.column("body").to_pylist())])
 
     return run
 
@@ -323,8 +315,7 @@ def _join(path: str):
         model = codec(path)
         for b in batches:
             for doc, text, parts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("parts").to_pylist()):
-                ids = np.frombuffer(b"".join(p["part"] for p in parts), "<i4").tolist()
-                yield _coded(model, [ids], [text.encode()], [doc])
+                yield _coded(model, [b"".join(p["part"] for p in parts)], [text.encode()], [doc])
 
     return run
 

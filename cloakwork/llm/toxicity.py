@@ -6,8 +6,8 @@ fitted on the other folds, so a later model never learns from predictions on row
 one was fitted on.
 
 Labels hold one category, toxic. The chain first predicts two categories that are derived from
-it and the words: `slur` (words that toxic texts hold and clean ones hardly do) and `dense` (such
-words make up much of the text), then `toxic` itself. Words and models are fitted on at most
+it and the words: `slur` (a word, or its beginning, that toxic texts hold and clean ones hardly do)
+and `dense` (such words make up much of the text), then `toxic` itself. Words and models are fitted on at most
 SAMPLE labelled rows, in the order of a hash of doc_id.
 
 Defined results: null and empty texts have no words and are not toxic; without labels, or with
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from cloakwork.llm.common import batch, sub_batches
 from cloakwork.llm.quality import fit, sample
 
-#: Labelled rows for fitting, words that features look at, folds, and the probability of a toxic text.
-SAMPLE, VOCABULARY, FOLDS, TOXIC = 20_000, 512, 5, 0.5
+#: Labelled rows for fitting, features of a model, folds, and the probability of a toxic text.
+SAMPLE, VOCABULARY, FOLDS, TOXIC = 8_000, 256, 5, 0.5
 CATEGORIES = ("slur", "dense", "toxic")
 #: Share of slur words from which a text is dense.
 DENSE = 0.02
+#: A word's features are the word and its beginnings of these lengths: compounds share them.
+BEGINNINGS = (4, 5, 6, 7)
+#: Toxic texts that a feature must be in; words whose features a worker keeps.
+LEAST, MOST_KEPT = 5, 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"p_{c}", pa.float64()) for c in CATEGORIES), ("is_toxic", pa.bool_())])
 
@@ -42,28 +46,36 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def marks(word: str) -> list[str]:
+    """The features of a word."""
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
+
+
 class Chain:
     """A vocabulary and one linear model for each category."""
 
     def __init__(self, rows: list[tuple[str, int]]):
         y = np.array([int(bool(r[1])) for r in rows], float)
-        self.share, self.models, self.places, self.slurs = float(y.mean()) if len(y) else 0.0, [], {}, frozenset()
+        self.share, self.models, self.places, self.slurs, self.known = float(y.mean()) if len(y) else 0.0, [], {}, frozenset(), {}
         if not len(y) or y.min() == y.max():
             return
-        counts = [Counter(words(t)) for t, _ in rows]
         toxic, clean = Counter(), Counter()
-        for c, label in zip(counts, y):
-            (toxic if label else clean).update(c.keys())
+        of = lambda text: {m for w in set(words(text)) for m in marks(w)}
+        for (t, _), label in zip(rows, y):
+            if label:
+                toxic.update(of(t))
+        toxic = {m: k for m, k in toxic.items() if k >= LEAST}
+        for (t, _), label in zip(rows, y):
+            if not label:
+                clean.update(of(t) & toxic.keys())
         n1, n0 = y.sum(), len(y) - y.sum()
-        odds = {w: (np.log((k + 0.1) / n1) - np.log((clean[w] + 0.1) / n0)) for w, k in toxic.items() if k >= 5}
-        weight = lambda w: odds[w] * np.sqrt(toxic[w])
-        chosen = sorted(odds, key=lambda w: (-weight(w), w))[:VOCABULARY]
-        self.places = {w: i for i, w in enumerate(sorted(chosen))}
-        # Slurs are words of many toxic texts: one in fifty at least, and thirty times as often as in clean ones.
-        self.slurs = frozenset(w for w in chosen if toxic[w] >= 0.02 * n1 and odds[w] > np.log(30))
-        x = np.array([self.row(c) for c in counts])
-        hits, totals = np.array([sum(c[w] for w in self.slurs if w in c) for c in counts]), np.array([max(1, sum(c.values())) for c in counts])
-        targets = [(hits > 0).astype(float), (hits / totals >= DENSE).astype(float), y]
+        odds = {m: np.log((k + 0.1) / n1) - np.log((clean[m] + 0.1) / n0) for m, k in toxic.items()}
+        chosen = sorted(odds, key=lambda m: (-odds[m] * np.sqrt(toxic[m]), m))[:VOCABULARY]
+        self.places = {m: i for i, m in enumerate(sorted(chosen))}
+        # Slurs are features of many toxic texts: one in a hundred at least, and thirty times as often as in clean ones.
+        self.slurs = frozenset(m for m in chosen if toxic[m] >= 0.01 * n1 and odds[m] > np.log(30))
+        x = np.array([self.row(t) for t, _ in rows])
+        targets = [(x[:, -2] > 0).astype(float), (x[:, -1] >= 0.5).astype(float), y]
         fold = np.arange(len(y)) % FOLDS
         for target in targets:
             out = np.zeros(len(y))
@@ -73,42 +85,50 @@ class Chain:
             self.models.append(self._fit(x, target))
             x = np.column_stack([x, out])
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
     @staticmethod
     def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """A constant where all labels are equal."""
         if len(y) and y.min() < y.max():
-            return fit(x, y, ridge=1e-4)
+            return fit(x, y, ridge=1e-4, rounds=25)
         return np.concatenate([[-30.0 if not len(y) or y[0] == 0 else 30.0], np.zeros(x.shape[1])])
 
     @staticmethod
     def probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
 
-    def row(self, counts) -> np.ndarray:
-        """Which vocabulary words a text has, how many slurs, and their share."""
-        x, hits, total = np.zeros(len(self.places) + 2), 0, 0
-        for w in counts.keys() & self.places.keys():
-            x[self.places[w]] = 1.0
-            hits += counts[w] * (w in self.slurs)
-        total = max(1, sum(counts.values()))
-        x[-2:] = min(1.0, hits / 5), min(1.0, hits / total / DENSE / 2)
+    def features(self, word: str) -> tuple:
+        """The places of a word's features, and whether one of them is a slur."""
+        found = [m for m in marks(word) if m in self.places]
+        return [self.places[m] for m in found], any(m in self.slurs for m in found)
+
+    def row(self, text: str | None) -> np.ndarray:
+        """Which features a text has, how many slurs, and their share; all zero without words."""
+        x, hits, counts, known = np.zeros(len(self.places) + 2), 0, Counter(words(text)), self.known
+        if len(known) > MOST_KEPT:
+            known.clear()
+        for w, n in counts.items():
+            if (got := known.get(w)) is None:
+                got = known[w] = self.features(w)
+            if got[0]:
+                x[got[0]] = 1.0
+                hits += n * got[1]
+        x[-2:] = min(1.0, hits / 5), min(1.0, hits / max(1, counts.total()) / DENSE / 2)
         return x
 
     def predict(self, texts: list) -> np.ndarray:
         """One column of probabilities for each category."""
         if not self.models:
             return np.full((len(texts), len(CATEGORIES)), self.share)
-        counts = [self.count(t) for t in texts]
-        x = np.array([self.row(c) for c in counts]).reshape(len(texts), -1)
+        x = np.array([self.row(t) for t in texts]).reshape(len(texts), -1)
         for w in self.models:
             x = np.column_stack([x, self.probability(x, w)])
         out = x[:, -len(CATEGORIES) :]
-        out[[not sum(c.values()) for c in counts]] = 0.0
+        out[[not _WORD.search(t or "") for t in texts]] = 0.0
         return out
 
-    def count(self, text) -> Counter:
-        return Counter(words(text))
-
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
     return Chain([(r[0], r[1]) for r in sample(docs, labels, "toxic", most).orderBy(F.xxhash64("text"), "text").collect()])
