@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import batch, materialise, sub_batches, texts
+from cloakwork.llm.common import Memory, batch, materialise, sub_batches, texts
 
 #: The id after each document.
 END_ID = 2
 #: Ids in a segment, but for one document's.
 SEGMENT = 1 << 18
 #: Pieces of text whose ids a worker keeps.
-MOST_KEPT = 400_000
+MOST_KEPT = 1_200_000
 #: Bits of one entry of a rank directory.
 BLOCK = 512
 _MAGIC = b"DAC1"
@@ -117,30 +117,38 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known = Tokenizer.from_file(path), Memory(MOST_KEPT)
+        # Ids whose token begins with a space, which the byte-level alphabet writes as this letter.
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, pieces: list[str]) -> None:
+        """Tokenizes pieces, each after a space, as one text; the tokens that begin with a space part them again."""
+        for at in range(0, len(pieces), 2048):
+            part = pieces[at : at + 2048]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            if len(starts) != len(part):
+                self.known.young.update((p, self.whole(" " + p)) for p in part)
+                continue
+            data = ids.tobytes()
+            self.known.young.update((p, data[s:e]) for p, s, e in zip(part, starts, [*starts[1:], len(data)]))
 
     def encode(self, some: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        known, cut, new = self.known, [], {}
-        if len(known) > MOST_KEPT:
-            known.clear()
-        for text in some:
-            if _HARD.search(text):
-                cut.append(None)
-                continue
-            pieces = text.split(" ")
-            first, pieces[0] = pieces[0], ""
-            pieces = [" " + p for p in pieces]
-            pieces[0] = first
-            cut.append(pieces)
-            new.update((p, None) for p in pieces if p not in known)
-        asked = list(new)
-        for at in range(0, len(asked), 4096):
-            part = asked[at : at + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() for text, pieces in zip(some, cut)]
+        cut = [None if _HARD.search(text) else text.split(" ") for text in some]
+        self.learn(self.known.missing(set().union(*(pieces[1:] for pieces in cut if pieces))))
+        get, out = self.known.young.__getitem__, []
+        firsts = iter(self.library.encode_batch_fast([pieces[0] for pieces in cut if pieces], add_special_tokens=False))
+        for text, pieces in zip(some, cut):
+            if pieces:
+                out.append(np.array(next(firsts).ids, "<u4").tobytes() + b"".join(map(get, pieces[1:])))
+            else:
+                out.append(self.whole(text))
+        return out
 
 
 def tokens(path: str) -> Tokens:
