@@ -5,10 +5,12 @@ strings have equal anchors at equal places, so only places that share an anchor
 
 1. each text gives its anchors, each with the run of 200-byte strings that belong to it;
 2. anchors found once cannot repeat and go; runs that are equal as a whole repeat as a whole;
-3. the other runs of a shared anchor (one of each kind) are fetched as bytes, and a suffix array
-   of them gives each string's longest previous factor, from the previous and the next smaller
-   position in suffix order: a factor of 200 bytes marks a later copy, its source the first one;
-4. each document's marked bytes are joined to its text.
+3. the other runs of a shared anchor (one of each kind) are fetched as bytes and cut down to what
+   they share with a neighbour on either side of the anchor; cut runs that are equal repeat;
+4. where cut runs of an anchor still differ, a suffix array of them gives each string's longest previous
+   factor, from the previous and the next smaller position in suffix order: a factor of 200 bytes
+   marks a later copy, its source the first one;
+5. each document's marked bytes are joined to its text.
 
 An anchor with more kinds of runs than MOST_RUNS (a passage between ever new neighbours) is not
 put into one suffix array: the digests of its 200-byte strings are counted instead, which gives
@@ -33,8 +35,8 @@ from cloakwork.llm.common import BYTE_WORDS, batch, materialise, rolling, sub_ba
 
 #: Bytes of a passage and of an anchor.
 WIDTH, ANCHOR = 200, 32
-#: Kinds of runs of one anchor that go into one suffix array.
-MOST_RUNS = 2048
+#: Kinds of runs of one anchor that are compared in one task (each has 368 bytes at most).
+MOST_RUNS = 20_000
 #: Bytes of runs in one suffix array, but for one anchor's; bytes of a text hashed at once.
 PACK, PIECE = 2 << 20, 4 << 20
 
@@ -56,16 +58,20 @@ def least_in_window(keys: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def scattered(h: np.ndarray) -> np.ndarray:
+    """Hashes whose order says nothing about the bytes."""
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
 def runs(buffer: np.ndarray, ends: np.ndarray, width: int = WIDTH, anchor: int = ANCHOR):
     """Of texts one after the other in a buffer: anchor hash, run digest, first and last string of each run."""
     none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(buffer) < width:
         return none
     hashes = rolling(BYTE_WORDS[buffer], [anchor, width])
-    h = hashes[anchor]
-    h = h ^ (h >> np.uint64(29))
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = scattered(hashes[anchor])
     # The leftmost of equal hashes: their places stand in the low bits.
     owner = (least_in_window((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), width - anchor + 1) & _LOW).astype(np.int64)
     begins = np.concatenate([[0], ends[:-1]])
@@ -178,19 +184,88 @@ def repeats(bodies: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np
     return body, place, later, copied
 
 
+def mixed(words: np.ndarray) -> np.ndarray:
+    """The hashes of all anchors in a buffer of byte words."""
+    return scattered(rolling(words, [ANCHOR])[ANCHOR])
+
+
+def _shared(sides: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How long a prefix each row has in common with another row of its group; sizes are the rows' own lengths."""
+    # Symbols from 1 in two bytes each, so the filling after a row equals nothing in it.
+    text = np.where(np.arange(sides.shape[1]) < sizes[:, None], sides.astype(">u2") + 1, 0).astype(">u2")
+    order = np.lexsort((text.view(f"S{2 * text.shape[1]}")[:, 0], group))
+    text, g, n = text[order], group[order], sizes[order]
+    same = text[1:] == text[:-1]
+    length = np.where(same.all(1), text.shape[1], same.argmin(1))
+    length = np.where(g[1:] == g[:-1], np.minimum(length, np.minimum(n[1:], n[:-1])), 0)
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(np.concatenate([[0], length]), np.concatenate([length, [0]]))
+    return out
+
+
+def shared_parts(bodies: list[bytes], anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run: from where to where it is shared with others of its anchor, on each side of the anchor.
+
+    The others on the two sides need not be the same, so a part may be wider than any string that
+    repeats, but no string outside it does.
+    """
+    sizes = np.array([len(b) for b in bodies], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    text = np.frombuffer(b"".join(bodies), np.uint8)
+    row = np.repeat(np.arange(len(bodies)), sizes)
+    hashes = mixed(BYTE_WORDS[text])
+    at = np.flatnonzero(hashes == anchors[row[: len(hashes)]])
+    at = at[at + ANCHOR <= (begins + sizes)[row[at]]]
+    found, first = np.unique(row[at], return_index=True)
+    place = np.zeros(len(bodies), np.int64)
+    place[found] = at[first] - begins[found]
+    group = np.unique(anchors, return_inverse=True)[1]
+    width, last = int(sizes.max()), max(0, len(text) - 1)
+    right = text[np.clip((begins + place)[:, None] + np.arange(width), 0, last)]
+    left = text[np.clip((begins + place)[:, None] - 1 - np.arange(width), 0, last)]
+    return place - _shared(left, place, group), place + _shared(right, sizes - place, group)
+
+
 def _mark_pack(rows: list[tuple]):
+    """rows: doc, at, body, alone, anchor. The marks of the strings of `alone` runs that repeat, as spans."""
     if len(rows) < 2:
         return None
-    body, place, later, copied = repeats([r[2] for r in rows], WIDTH)
-    alone = np.array([r[3] for r in rows])
-    hit = np.flatnonzero((later | copied) & alone[body])
-    doc, at = np.array([r[0] for r in rows], np.int64)[body[hit]], np.array([r[1] for r in rows], np.int64)[body[hit]]
-    start = ((at >> 8) & 0x7FFFFFFF) + place[hit]
-    return batch(_MARKS, [doc, at >> 39, start, start + WIDTH])
+    low, high = shared_parts([r[2] for r in rows], np.array([r[4] for r in rows], np.int64).view(np.uint64))
+    spans: list[tuple] = []  # row, first string, last string
+    kinds: dict = {}
+    for i in np.flatnonzero(high - low >= WIDTH).tolist():
+        kinds.setdefault(rows[i][4], {}).setdefault(rows[i][2][low[i] : high[i]], []).append(i)
+    several: list[tuple[bytes, list[int]]] = []
+    for parts in kinds.values():
+        for part, own in parts.items():
+            if len(own) > 1:
+                spans += [(i, low[i], high[i] - WIDTH) for i in own]
+        if len(parts) > 1 and any(len(own) == 1 for own in parts.values()):
+            several += parts.items()
+    held, pack = 0, []
+    for part, own in [*several, (None, [])]:
+        if part is None or held > PACK and rows[own[0]][4] != rows[pack[-1][1][0]][4]:
+            if pack:
+                body, place, later, copied = repeats([x for x, _ in pack], WIDTH)
+                hit = np.flatnonzero(later | copied)
+                cuts = np.flatnonzero((np.diff(body[hit]) != 0) | (np.diff(place[hit]) != 1)) + 1
+                for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(hit)]])) if len(hit) else ():
+                    spans += [(i, low[i] + place[hit[a]], low[i] + place[hit[b - 1]]) for i in pack[body[hit[a]]][1]]
+            held, pack = 0, []
+        if part is not None:
+            pack.append((part, own))
+            held += len(part)
+    spans = [x for x in spans if rows[x[0]][3]]
+    if not spans:
+        return None
+    which, first, last = (np.array(x, np.int64) for x in zip(*spans))
+    at = np.array([r[1] for r in rows], np.int64)[which]
+    start = (at >> 8) & 0x7FFFFFFF
+    return batch(_MARKS, [np.array([r[0] for r in rows], np.int64)[which], at >> 39, start + first, start + last + WIDTH])
 
 
 def _mark(batches):
-    """Suffix arrays of packs of anchors; the rows come ordered by anchor."""
+    """The marks of packs of anchors; the rows come ordered by anchor."""
     rows, held, key = [], 0, None
     for b in batches:
         for h, doc, at, body, alone in zip(*(b.column(c).to_pylist() for c in ("h", "doc", "at", "body", "alone"))):
@@ -198,7 +273,7 @@ def _mark(batches):
                 if (out := _mark_pack(rows)) is not None:
                     yield out
                 rows, held = [], 0
-            rows.append((doc, at, body, alone))
+            rows.append((doc, at, body, alone, h))
             held, key = held + len(body), h
     if rows and (out := _mark_pack(rows)) is not None:
         yield out
@@ -211,23 +286,27 @@ def _strings(batches):
             yield batch(_STRINGS, [[hashlib.blake2b(body[i : i + WIDTH], digest_size=16).digest() for i in range(n)], [alone] * n, [doc] * n, [at >> 39] * n, list(range(first, first + n))])
 
 
-def cut(text: bytes, marks: list[dict] | None) -> tuple[bytes, int, int]:
+def cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
     """The text without the marked bytes, how many went, and in how many runs."""
-    if not marks:
+    if not len(starts):
         return text, 0, 0
-    spans = np.array(sorted((m["start"], m["end"]) for m in marks), np.int64)
-    far = np.maximum.accumulate(spans[:, 1])
-    new = np.flatnonzero(spans[1:, 0] > far[:-1]) + 1
-    starts, ends = spans[np.concatenate([[0], new]), 0].tolist(), far[np.concatenate([new - 1, [len(far) - 1]])].tolist()
-    kept = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)]))
-    return kept, len(text) - len(kept), len(starts)
+    order = np.argsort(starts, kind="stable")
+    starts, far = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(starts[1:] > far[:-1]) + 1
+    first, last = starts[np.concatenate([[0], new])].tolist(), far[np.concatenate([new - 1, [len(far) - 1]])].tolist()
+    kept = b"".join(text[a:b] for a, b in zip([0, *last], [*first, len(text)]))
+    return kept, len(text) - len(kept), len(first)
 
 
 def _finish(batches):
     for b in sub_batches(batches):
-        rows = []
-        for text, marks in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("marks").to_pylist()):
-            kept, removed, spans = cut(text, marks)
+        rows, marks = [], b.column("marks")
+        offsets = np.asarray(marks.offsets)
+        starts, ends = (np.asarray(marks.values.field(k)).astype(np.int64) for k in (0, 1))
+        none = np.asarray(marks.is_null())
+        for i, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+            at, to = (0, 0) if none[i] else (offsets[i], offsets[i + 1])
+            kept, removed, spans = cut(text, starts[at:to], ends[at:to])
             rows.append((len(text), removed, spans, hashlib.sha256(kept).hexdigest()))
         yield batch(_KEPT, [b.column("doc_id").cast(pa.int64()), *map(list, zip(*rows))])
 

@@ -128,6 +128,17 @@ def test_passages(spark, small, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_parts_from_different_neighbours(spark):
+    """A run whose two sides are shared with different documents repeats only where one document has both."""
+    r = np.random.default_rng(5)
+    word = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    a, b, c, anchor = word(150), word(150), word(150), word(60)
+    rows = [(1, a + anchor + b, "s"), (2, a + anchor + word(150), "s"), (3, word(150) + anchor + b, "s"), (4, word(90) + c + anchor[:20], "s"), (5, c + anchor + b[:100] + word(99), "s"), (6, word(30) + c + anchor + b, "s")]
+    want = removed(rows)
+    assert Counter(tuple(x) for x in suffix_dedup.remove_repeats(frame(spark, rows)).collect()) == want
+    assert any(x[2] for x in want)
+
+
 def test_longest_previous_factors():
     bodies = [b"xxabcabcdyy", b"zabcabcdq", b"abcabc", b""]
     body, place, later, copied = suffix_dedup.repeats(bodies, 4)
