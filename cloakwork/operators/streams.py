@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +34,15 @@ def blanked(text: Column, pattern: str) -> Column:
 def blank_literals(stream: Column, names: list[str] = ()) -> Column:
     """The stream with personal data inside ( … ) blanked: patterns first, then known names."""
     patterns = [*PATTERNS, *(f"(?iu){quoted(n)}" for n in ordered_names(list(names)))]
-    # The outer parentheses are in no pattern, so a whole literal may be searched.
-    inside = lambda x: F.concat(F.lit("("), reduce(blanked, patterns, F.substring(x, 2, F.length(x) - 2)), F.lit(")"))
-    return interleaved(F.split(stream, LITERAL, -1), F.transform(F.regexp_extract_all(stream, F.lit(LITERAL), F.lit(0)), inside))
+    inner = F.transform(F.regexp_extract_all(stream, F.lit(LITERAL), F.lit(0)), lambda x: F.substring(x, 2, F.length(x) - 2))
+    # One pass over the literals for each pattern: nested in one expression, the passes would multiply.
+    for p in patterns:
+        inner = F.transform(inner, _blanking(p))
+    return interleaved(F.split(stream, LITERAL, -1), F.transform(inner, lambda x: F.concat(F.lit("("), x, F.lit(")"))))
+
+
+def _blanking(pattern: str):
+    return lambda x: blanked(x, pattern)
 
 
 def blank_orphans(stream: Column) -> Column:
