@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cloakwork.functions.text import newlines, rejoined_literals, visible
 from cloakwork.operators.audit import suffix
@@ -30,14 +31,14 @@ def with_order(files: DataFrame) -> DataFrame:
     return files.join(order, "path")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _utf8(content: pd.Series) -> pd.Series:
     """Bytes that are not UTF-8 are dropped."""
     return content.map(lambda b: b.decode("utf-8", "ignore"))
 
 
 def _reader(read):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(content: pd.Series) -> pd.Series:
         return content.map(lambda b: office.safely(read, b, ""))
 
