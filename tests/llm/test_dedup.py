@@ -217,3 +217,32 @@ def test_large_line_buckets(spark, monkeypatch):
         rows.append((k, " ".join(w), "s"))
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(frame(spark, rows)).collect()}
     assert got[0] == 0 and sum(got.values()) >= 15
+
+
+def line_keeps(spark, texts):
+    """The text that each text's group keeps, by the operator."""
+    got = line_dedup.line_groups(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).select("first.doc_id", "keep.doc_id").collect()
+    return {r[0]: r[1] for r in got}
+
+
+def brute_keeps(texts):
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if min(len(texts[i]), len(texts[j])) >= 0.8 * max(len(texts[i]), len(texts[j])) and similarity(texts[i], texts[j]) >= 0.8 - 1e-9]
+    return components(range(len(texts)), near)
+
+
+def test_hot_line_buckets_against_brute_force(spark, monkeypatch):
+    """Lines of the same words in other orders have one SimHash: chains of near ones, far ones, and several leaders."""
+    r = np.random.default_rng(3)
+    texts = []
+    for chain in range(5):
+        w = [f"{'abcdefgh'[int(x)]}{x}{'qrstuv'[int(x) % 6] * (1 + int(x) % 3)}" for x in r.permutation(24) % 8]
+        for _ in range(12):
+            texts.append(" ".join(w))
+            i, j = r.choice(24, 2, replace=False)
+            w[i], w[j] = w[j], w[i]
+    texts = list(dict.fromkeys(texts))
+    want = brute_keeps(texts)
+    direct = {i: {j for j in range(len(texts)) if similarity(texts[i], texts[j]) >= 0.8} for i in range(len(texts))}
+    assert any(want[i] != i and want[i] not in direct[i] for i in want)  # groups that only chains hold together
+    monkeypatch.setattr(line_dedup, "PAIRS", 2)
+    assert line_keeps(spark, texts) == want
