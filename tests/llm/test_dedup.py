@@ -246,3 +246,53 @@ def test_hot_line_buckets_against_brute_force(spark, monkeypatch):
     assert any(want[i] != i and want[i] not in direct[i] for i in want)  # groups that only chains hold together
     monkeypatch.setattr(line_dedup, "PAIRS", 2)
     assert line_keeps(spark, texts) == want
+
+
+def edited(r, text, share):
+    """text with so many characters replaced, removed or put in at random places."""
+    t = list(text)
+    for _ in range(int(share * len(text))):
+        i = int(r.integers(len(t)))
+        t[i : i + 1] = [[], [str(r.choice(list("aeinrst")))], [t[i], str(r.choice(list("aeinrst")))]][int(r.integers(3))]
+    return " ".join("".join(t).split())
+
+
+def random_line(r, n):
+    out = ""
+    while len(out) < n:
+        out += "".join(r.choice(list("aeioulnrstdm"), int(r.integers(2, 8)))) + " "
+    return out[:n].strip()
+
+
+def test_short_lines_against_brute_force(spark):
+    """Of lines up to SHORT characters no similar pair is lost."""
+    r = np.random.default_rng(11)
+    texts = []
+    for _ in range(45):
+        base = random_line(r, int(r.integers(5, 33)))
+        texts += [base, *(edited(r, base, 0.2) for _ in range(3))]
+    texts = [t for t in dict.fromkeys(texts) if t and len(t) <= line_dedup.SHORT]
+    want = brute_keeps(texts)
+    assert sum(k != i for i, k in want.items()) > 40
+    assert line_keeps(spark, texts) == want
+
+
+def test_recall_by_length(spark):
+    """Pairs found of pairs that are similar, by length and share of edited characters."""
+    r = np.random.default_rng(12)
+    texts, pairs = [], []
+    for n in (50, 90, 150, 300):
+        for share in (0.02, 0.05, 0.1, 0.15):
+            for _ in range(30):
+                base = random_line(r, n)
+                pairs.append((n, share, len(texts)))
+                texts += [base, edited(r, base, share)]
+    keeps = line_keeps(spark, texts)
+    found, every = Counter(), Counter()
+    for n, share, i in pairs:
+        if texts[i] != texts[i + 1] and similarity(texts[i], texts[i + 1]) >= 0.8:
+            every[n, share] += 1
+            found[n, share] += keeps[i] == keeps[i + 1]
+    recall = {k: found[k] / every[k] for k in every}
+    print({k: f"{found[k]} of {every[k]}" for k in every})
+    assert all(recall[n, 0.02] >= 0.95 and recall[n, 0.05] >= 0.85 for n in (50, 90, 150, 300))
