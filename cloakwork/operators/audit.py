@@ -38,6 +38,22 @@ def job_totals(stats: DataFrame) -> DataFrame:
     return stats.groupBy("job_id").agg(F.count_distinct("file_ord").alias("file_count"), F.sum("n").alias("total_redactions"), F.count_distinct("pii_type").alias("types"))
 
 
+def result_cards(jobs: DataFrame) -> DataFrame:
+    """job_id, file_count, total, types of job rows (files with their stats maps): what a finished job shows."""
+    total = F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + file_sum(f["stats"]))
+    return jobs.select("job_id", F.size("files").cast("long").alias("file_count"), total.alias("total"), F.size(F.map_keys("summary")).cast("long").alias("types"))
+
+
+def file_sum(stats):
+    """The sum over a stats map."""
+    return F.aggregate(F.map_values(stats), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def shown(n):
+    """A number with commas between its thousands."""
+    return F.format_number(n, 0)
+
+
 def type_list(stats):
     """Sorted type names of a stats map, or none."""
     return F.when(F.size(stats) > 0, F.array_join(F.array_sort(F.map_keys(stats)), ", ")).otherwise("none")
@@ -101,5 +117,11 @@ def list_users(users: DataFrame) -> DataFrame:
     return users.select("username", "role", "created_at").orderBy("created_at")
 
 
+def seeded(users: DataFrame, first: DataFrame) -> DataFrame:
+    """users, or the rows of first where there are none; which row that is, the caller says: there is no built-in account."""
+    n = users.limit(1).agg(F.count("*").alias("_n"))
+    return users.unionByName(first.join(F.broadcast(n), F.col("_n") == 0).select(*users.columns))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)

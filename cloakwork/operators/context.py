@@ -11,7 +11,7 @@ from cloakwork.operators import gazetteer
 #: Two words after a role; what follows must be closing punctuation, a line's end or one of the followers.
 NAME = rf"(?iU)(?:{'|'.join(ROLES)})[,:\s]+([A-Z][a-z]{{1,20}}\s+[A-Z][a-z]{{1,20}})(?=\s*[(,.\n\r]|\s+(?:{'|'.join(FOLLOWERS)})\b)"
 FIELD = rf"(?iU)(?:{'|'.join(FIELD_HINTS)})[:\s#]+([A-Z0-9\-]+)"
-#: Bytes of a job above which the service skips the scan, and the most names a job may know.
+#: Bytes of a job above which a web service may skip the scan (see `scan`), and the most names a job may know.
 SCAN_LIMIT, MOST_NAMES = 1_000_000, 100_000
 
 
@@ -43,8 +43,8 @@ def unknown_fields(docs: DataFrame, schema: DataFrame) -> DataFrame:
     return fields(docs).join(schema.select("field"), "field", "left_anti")
 
 
-def scan(docs: DataFrame, words: list[str] | None = None, limit: int | None = SCAN_LIMIT) -> list[str]:
-    """The job's known names, sorted; none if the job's bytes pass the limit (None: no limit).
+def scan(docs: DataFrame, words: list[str] | None = None, limit: int | None = None) -> list[str]:
+    """The job's known names, sorted, over all documents; with a limit, none if the job's bytes pass it.
 
     The names become part of the plan, so their number is checked.
     """

@@ -37,15 +37,42 @@ def ordered_names(names: list[str]) -> list[str]:
     return sorted(set(names), key=lambda n: (-len(n), n))
 
 
+def _folded(c: str) -> str:
+    """The letter that stands for all cases of one, where each case is one letter."""
+    return low if len(up := c.upper()) == 1 and len(low := up.lower()) == 1 else c
+
+
 def names_pattern(names: list[str]) -> str:
-    return "(?iu)" + "|".join(quoted(n) for n in ordered_names(names))
+    """One pattern for all names, which takes the longest that begins at a place.
+
+    Names share their beginnings as in a tree, so at most places a text is looked at for one letter only, however many
+    names there are.
+    """
+    root: dict = {}
+    for name in names:
+        node = root
+        for c in name:
+            node = node.setdefault(_folded(c), {})
+        node[""] = {}
+    # From the leaves up, without recursion: names have any length.
+    order, seen = [root], 0
+    while seen < len(order):
+        order += [n for c, n in order[seen].items() if c]
+        seen += 1
+    written: dict[int, str] = {}
+    for node in reversed(order):
+        ways = [quoted(c) + written[id(n)] for c, n in sorted(node.items()) if c]
+        body = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})" if ways else ""
+        written[id(node)] = f"(?:{body})?" if ways and "" in node else body
+    return "(?iu)" + written[id(root)]
 
 
 def apply_known_names(df: DataFrame, names: list[str], fill: str) -> DataFrame:
     """Replaces every occurrence of a known name, inside words too; adds hits_known.
 
-    One alternation, longest first: one pass over a text whatever the number of names.
+    One pass over a text whatever the number of names.
     """
+    names = [n for n in names if n]
     if not names:
         return df.withColumn("hits_known", F.array().cast(EMPTY))
     pattern = names_pattern(names)

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 MODES = ("public", "research", "audit")
 
-#: Keywords that end an address, and those that begin one.
-_STREETS = (
-    "Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Way|Place|Pl|"
-    "Nagar|Marg|Vihar|Colony|Layout|Sector|Block|Extension|Ext|Cross|Main|Circle|Chowk|Bazaar|Bazar|Gali|Mohalla"
-)
+#: Fixed value: keywords that begin an address.
 _UNITS = r"Flat|F\.?No\.?|Apartment|Apt\.?|Plot|Door\s+No\.?"
 
 
@@ -43,7 +39,7 @@ class Rule:
         return text.contains(self.gate) if self.gate == "@" else text.rlike(f"(?iU){self.gate}")
 
 
-#: In their order: each sees the text that the one before leaves.
+#: Fixed values, in their order: each sees the text that the one before leaves.
 RULES = (
     Rule("card", r"\b(?:\d{4}[- ]){3}\d{4}\b"),
     Rule("aadhaar", r"\b\d{4}\s\d{4}\s\d{4}\b"),
@@ -52,15 +48,9 @@ RULES = (
     Rule("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
     Rule("email", r"\b[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", gate="@"),
     Rule("upi", r"\b[a-zA-Z0-9.\-_]{2,}+@[a-zA-Z]{2,}\b", gate="@"),
-    Rule("phone", "|".join((
-        r"(?:\+91[-.\s]?)?\d{5}[-.\s]\d{5}",
-        r"(?:\+91[-.\s]?)?\d{5}\s?\d{6}",
-        r"\+91[-.\s]?\d{10}",
-        r"\b(?:\+91[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
-        r"\b[6-9]\d{9}\b",
-    ))),
+    Rule("phone", r"(?:\+91[-.\s]?)?\d{5}[-.\s]\d{5}|(?:\+91[-.\s]?)?\d{5}\s?\d{6}|\+91[-.\s]?\d{10}|\b(?:\+91[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b|\b[6-9]\d{9}\b"),
     Rule("dob", r"\b(?:DOB|Date\s+of\s+Birth|Born)[:\s]+\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b", ("public", "audit")),
-    Rule("address", rf"\b(?:{_UNITS})\s*[\w\-/]+(?:\s*,\s*[A-Za-z0-9\s\-]+)?|\b\d{{1,5}}[A-Z]?\s+[A-Za-z0-9\s]{{3,40}}(?:{_STREETS})\.?\b", ("public", "audit"), gate=rf"\d|{_UNITS}"),
+    Rule("address", r"\b(?:Flat|F\.?No\.?|Apartment|Apt\.?|Plot|Door\s+No\.?)\s*[\w\-/]+(?:\s*,\s*[A-Za-z0-9\s\-]+)?|\b\d{1,5}[A-Z]?\s+[A-Za-z0-9\s]{3,40}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Way|Place|Pl|Nagar|Marg|Vihar|Colony|Layout|Sector|Block|Extension|Ext|Cross|Main|Circle|Chowk|Bazaar|Bazar|Gali|Mohalla)\.?\b", ("public", "audit"), gate=rf"\d|{_UNITS}"),
     Rule("name", r"\b(?:Mr\.|Mrs\.|Ms\.|Dr\.|Prof\.)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)++", gate=r"(?:mr|mrs|ms|dr|prof)\."),
 )
 BY_NAME = {r.name: r for r in RULES}

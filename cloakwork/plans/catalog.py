@@ -113,12 +113,28 @@ def _(spark, d):
 # Rules
 
 
+#: The rules as the SQL side has them, written out by hand: not taken from the library.
+_PLAIN = {
+    "card": r"\b\d{4}[- ]\d{4}[- ]\d{4}[- ]\d{4}\b",
+    "aadhaar": r"\b\d{4}\s\d{4}\s\d{4}\b",
+    "pan": "\\b[A-Z]{5}[\\s\u2800-\u28ff\u200b-\u200f]?\\d{4}[A-Z]\\b",
+    "ssn": r"\b\d{3}-\d\d-\d{4}\b",
+    "ip": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
+    "email": r"\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b",
+    "upi": r"\b[A-Z0-9.\-_]{2,}@[A-Z]{2,}\b",
+    "phone": r"(?:\+91[-.\s]?)?\d{5}[-.\s]\d{5}|(?:\+91[-.\s]?)?\d{5}\s?\d{6}|\+91[-.\s]?\d{10}|\b(?:\+91[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b|\b[6-9]\d{9}\b",
+    "dob": r"\b(?:DOB|Date\s+of\s+Birth|Born)[:\s]+\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",
+    "address": r"\b(?:Flat|F\.?No\.?|Apartment|Apt\.?|Plot|Door\s+No\.?)\s*[\w\-/]+(?:\s*,\s*[A-Z0-9\s\-]+)?|\b\d{1,5}[A-Z]?\s+[A-Z0-9\s]{3,40}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Court|Ct|Way|Place|Pl|Nagar|Marg|Vihar|Colony|Layout|Sector|Block|Extension|Ext|Cross|Main|Circle|Chowk|Bazaar|Bazar|Gali|Mohalla)\.?\b",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.\s+[A-Z][A-Z]+(?:\s+[A-Z][A-Z]+)+",
+}
+
+
 def _chain_sql(source: str, mode: str, which=None) -> str:
     """The rule chain, one common table for each rule."""
     steps = [f"t0 AS (SELECT doc_id, regexp_replace(text, {_lit(tx.INVISIBLE)}, ' ', 'g') AS t FROM ({source}))"]
     chosen = [r for r in rules.active(mode) if which is None or r.name in which]
     for i, r in enumerate(chosen):
-        pattern = _lit(f"(?i){r.plain}")
+        pattern = _lit(f"(?i){_PLAIN[r.name]}")
         steps.append(f"t{i + 1} AS (SELECT * EXCLUDE (t), len(regexp_extract_all(t, {pattern})) AS n_{r.name}, regexp_replace(t, {pattern}, {_lit(rules.replacement(r.name, mode))}, 'g') AS t FROM t{i})")
     return f"WITH {', '.join(steps)} SELECT doc_id, t AS redacted, CAST({' + '.join(f'n_{r.name}' for r in chosen)} AS BIGINT) AS total FROM t{len(chosen)}"
 
@@ -139,8 +155,8 @@ for _i, _name in ((5, "ip"), (6, "email"), (8, "phone")):
     query(f"r{_i:02d}_{_name}_documents", _chain_sql("SELECT doc_id, text FROM documents", "audit", [_name]))(_single(rules.BY_NAME[_name], "documents"))
 for _mode in ("public", "audit"):
     query(f"r13_chain_{_mode}", _chain_sql(notes.NOTES, _mode))(lambda spark, d, m=_mode: redact.redact(_notes(spark, d), m).select("doc_id", "redacted", "total"))
-query("t01_documents_audit")(flagship)
-query("t01_documents_public")(lambda spark, d: redact.redact(_table(spark, d, "documents"), "public").select("doc_id", "redacted", "stats", "total"))
+query("t01_documents_audit", _chain_sql("SELECT doc_id, text FROM documents", "audit"))(flagship)
+query("t01_documents_public", _chain_sql("SELECT doc_id, text FROM documents", "public"))(lambda spark, d: redact.redact(_table(spark, d, "documents"), "public").select("doc_id", "redacted", "total"))
 
 
 @query(
@@ -159,7 +175,7 @@ query("v02_replacements", " UNION ALL ".join(f"SELECT '{t}' AS pii_type, repeat(
 )
 
 _EMAIL = rules.BY_NAME["email"]
-_HITS_SQL = f"hits AS (SELECT doc_id, i AS pos, {_found('text', '(?i)' + _EMAIL.plain)}[i] AS value FROM ({notes.NOTES}) n, unnest(range(1, len({_found('text', '(?i)' + _EMAIL.plain)}) + 1)) AS r(i))"
+_HITS_SQL = f"hits AS (SELECT doc_id, i AS pos, {_found('text', '(?i)' + _PLAIN['email'])}[i] AS value FROM ({notes.NOTES}) n, unnest(range(1, len({_found('text', '(?i)' + _PLAIN['email'])}) + 1)) AS r(i))"
 _VAULT_SQL = f"""{_HITS_SQL}, firsts AS (SELECT sha256(lower(trim(value))) AS key, min((doc_id, pos)) AS first FROM hits GROUP BY 1),
     tokens AS (SELECT 'email' AS pii_type, key, row_number() OVER (ORDER BY first) AS n, printf('[EMAIL-R%03d]', row_number() OVER (ORDER BY first)) AS token FROM firsts)"""
 
@@ -179,14 +195,23 @@ def _(spark, d):
     return vault.summary(vault.assign(_email_hits(spark, d)))
 
 
-_PLAIN_EMAIL = _lit("(?i)" + _EMAIL.plain)
+_PLAIN_EMAIL = _lit("(?i)" + _PLAIN["email"])
 query("v03_research_notes")(lambda spark, d: redact.redact(_notes(spark, d), "research", notes.NAMES[:4], {"IFSC": {"is_pii": True, "modes": ["research"]}}, notes.WORDS).select("doc_id", "redacted", "total"))
-query(
-    "v03_research_mail_notes",
+
+
+@query(
+    "v03_email_tokens",
     f"""WITH {_VAULT_SQL}, put AS (SELECT doc_id, list(token ORDER BY pos) AS tokens FROM hits JOIN tokens ON key = sha256(lower(trim(value))) GROUP BY doc_id),
-        cut AS (SELECT doc_id, string_split_regex(text, {_PLAIN_EMAIL}) AS f FROM ({notes.NOTES}) WHERE doc_id % 13 = 5)
-        SELECT doc_id, array_to_string(list_transform(range(1, len(f) + 1), lambda i: f[i] || coalesce(tokens[i], '')), '') AS redacted FROM cut JOIN put USING (doc_id)""",
-)(lambda spark, d: redact.redact(_notes(spark, d).filter("doc_id % 13 = 5"), "research").select("doc_id", "redacted"))
+        cut AS (SELECT doc_id, string_split_regex(text, {_PLAIN_EMAIL}) AS f FROM ({notes.NOTES}))
+        SELECT doc_id, array_to_string(list_transform(range(1, len(f) + 1), lambda i: f[i] || coalesce(tokens[i], '')), '') AS redacted FROM cut LEFT JOIN put USING (doc_id)""",
+)
+def _(spark, d):
+    docs = _notes(spark, d)
+    hits = _email_hits(spark, d)
+    told = hits.select("value", "ord.*").withColumn("key", vault.key(F.col("value"))).join(vault.assign(hits).select("key", "token"), "key")
+    put = told.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("put"))
+    cut = F.split("text", _EMAIL.java, -1)
+    return docs.join(put, "doc_id", "left").select("doc_id", redact.interleaved(cut, F.coalesce(F.col("put.token"), F.array().cast("array<string>"))).alias("redacted"))
 
 
 @query("v05_preseed", "WITH k AS (SELECT lower(trim(n)) AS k, min(n) AS first FROM (SELECT unnest(['Priya Nair', 'priya nair', 'Aarav Mehta', 'Zoe Ek']) AS n) GROUP BY 1) SELECT sha256(k) AS key, printf('[NAME-R%03d]', row_number() OVER (ORDER BY first)) AS token FROM k")
@@ -244,7 +269,16 @@ def _(spark, d):
     return context.classified(context.fields(_notes(spark, d)), answers).withColumn("modes", F.array_join("modes", ","))
 
 
-query("c06_documents_names")(lambda spark, d: context.known_names(_table(spark, d, "documents"), notes.WORDS))
+_SIGNED = f"SELECT doc_id, text || ' customer ' || {notes.choice('doc_id', notes.NAMES)} || ' contacted us, Contact ' || {notes.choice('doc_id + 3', notes.NAMES)} AS text FROM documents"
+query("c06_documents_names", f"{_INTRODUCED} UNION {_LISTED}".replace(notes.NOTES, _SIGNED))(lambda spark, d: context.known_names(_derived(spark, d, _SIGNED), notes.WORDS))
+
+
+@query("n07_scan_limit", f"SELECT '10 bytes' AS scan_limit, 0 AS names UNION ALL SELECT 'none', count(*) FROM ({_INTRODUCED} UNION {_LISTED})")
+def _(spark, d):
+    limits = {"10 bytes": 10, "none": None}
+    return spark.createDataFrame([(k, len(context.scan(_notes(spark, d), notes.WORDS, n))) for k, n in limits.items()], "scan_limit string, names long")
+
+
 
 _KNOWN = "(?i)" + "|".join(redact.ordered_names(notes.NAMES[:4]))
 
@@ -260,7 +294,16 @@ def _(spark, d):
     return redact.apply_fields(_notes(spark, d), schema, "audit").select("doc_id", "text")
 
 
-query("t04_full_audit_notes")(lambda spark, d: redact.redact(_notes(spark, d), "audit", context.scan(_notes(spark, d), notes.WORDS, None), {"IFSC": {"is_pii": True, "modes": ["audit"]}}, notes.WORDS).select("doc_id", "redacted", F.to_json("stats").alias("stats"), "total"))
+_IFSC = _lit(r"(?i)(IFSC[:\s#]+)([A-Z0-9\-]+)")
+query(
+    "t04_full_audit_notes",
+    f"""WITH names AS (SELECT '(?i)' || string_agg(name, '|' ORDER BY length(name) DESC, name) AS pattern FROM ({_INTRODUCED} UNION {_LISTED})),
+        a AS (SELECT doc_id, redacted AS t, total FROM ({_chain_sql(notes.NOTES, "audit")})),
+        b AS (SELECT doc_id, regexp_replace(t, pattern, '[NAME]', 'g') AS t, total + len(regexp_extract_all(t, pattern)) AS total FROM a, names),
+        c AS (SELECT doc_id, regexp_replace(t, {_IFSC}, '\\1[REDACTED]', 'g') AS t, total + len(regexp_extract_all(t, {_IFSC})) AS total FROM b),
+        p AS (SELECT doc_id, t, total, string_split_regex(t, {_lit(_PAIR_RE2)}) AS f, list_transform({_found('t', _PAIR_RE2)}, lambda name: CASE WHEN {_IS_NAME} THEN '[NAME]' ELSE name END) AS q, len(list_filter({_found('t', _PAIR_RE2)}, lambda name: {_IS_NAME})) AS n FROM c)
+        SELECT doc_id, array_to_string(list_transform(range(1, len(f) + 1), lambda i: f[i] || coalesce(q[i], '')), '') AS redacted, CAST(total + n AS BIGINT) AS total FROM p""",
+)(lambda spark, d: redact.redact(_notes(spark, d), "audit", context.scan(_notes(spark, d), notes.WORDS), {"IFSC": {"is_pii": True, "modes": ["audit"]}}, notes.WORDS).select("doc_id", "redacted", "total"))
 
 # Gazetteer and spans
 
@@ -277,11 +320,22 @@ def _(spark, d):
     return gazetteer.vocabulary(_table(spark, d, "nation").select(F.col("n_name").alias("word")), _table(spark, d, "region").select(F.col("r_name").alias("word")))
 
 
-query("g04_entity_stage")(lambda spark, d: redact.redact(_table(spark, d, "documents"), "audit", ner=ner.stage(notes.WORDS, None)).select("doc_id", "redacted", "total"))
+
+
+def _places():
+    """A detector that needs no model: words that begin so are places."""
+    import re
+
+    return lambda text: [(m.start(), m.end(), m[0], "GPE") for m in re.finditer("Th[a-z]{4,}", text)]
+
+
+query("g04_entity_stage", f"SELECT doc_id, regexp_replace(redacted, 'Th[a-z]{{4,}}', '[LOCATION]', 'g') AS redacted, CAST(total + len(regexp_extract_all(redacted, 'Th[a-z]{{4,}}')) AS BIGINT) AS total FROM ({_chain_sql('SELECT doc_id, text FROM documents', 'audit')})")(
+    lambda spark, d: redact.redact(_table(spark, d, "documents"), "audit", ner=ner.stage(notes.WORDS, _places)).select("doc_id", "redacted", "total")
+)
 
 _KEPT = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, prio) AS i FROM ({notes.SPANS})),
-    walk AS (SELECT doc_id, i, start, stop, true AS kept, stop AS last FROM s WHERE i = 1
-             UNION ALL SELECT s.doc_id, s.i, s.start, s.stop, s.start >= last, CASE WHEN s.start >= last THEN s.stop ELSE last END FROM walk JOIN s ON s.doc_id = walk.doc_id AND s.i = walk.i + 1)"""
+    walk AS (SELECT doc_id, i, start, stop, prio, true AS kept, stop AS last FROM s WHERE i = 1
+             UNION ALL SELECT s.doc_id, s.i, s.start, s.stop, s.prio, s.start >= last, CASE WHEN s.start >= last THEN s.stop ELSE last END FROM walk JOIN s ON s.doc_id = walk.doc_id AND s.i = walk.i + 1)"""
 
 
 def _kept(spark, d):
@@ -300,7 +354,7 @@ def _(spark, d):
     return _kept(spark, d).select("doc_id", spans.apply(F.repeat(F.lit("abcdefghij"), F.lit(6)), F.col("spans")).alias("text"))
 
 
-query("g08_category_counts")(lambda spark, d: spans.category_counts(_kept(spark, d)))
+query("g08_category_counts", f"{_KEPT} SELECT doc_id, CASE WHEN prio % 2 = 0 THEN 'Name' ELSE 'Hindi' END AS category, count(*) AS n FROM walk WHERE kept GROUP BY 1, 2")(lambda spark, d: spans.category_counts(_kept(spark, d)))
 
 # Pages
 
@@ -352,7 +406,13 @@ def _(spark, d):
     return geometry.rectangles(_derived(spark, d, notes.BOXES)).select("doc_id", "page", "word_idx", "operator")
 
 
-query("p10_box_stats")(lambda spark, d: geometry.box_stats(geometry.boxes(_derived(spark, d, notes.BOXES), "audit")))
+_LEADS = ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for c in ("a", "x0", "top") for k in range(3))
+query(
+    "p10_box_stats",
+    f"""WITH t AS (SELECT doc_id, page, {_LEADS} FROM (SELECT *, regexp_replace(text, '[.,;)(]+$', '') AS a FROM ({notes.BOXES})) WINDOW w AS (PARTITION BY doc_id, page ORDER BY word_idx)),
+        b AS (SELECT DISTINCT doc_id, page, round_even([x00, x01, x02][k], 0) AS x, round_even([top0, top1, top2][k], 0) AS y FROM t, unnest(range(1, 4)) AS r(k) WHERE regexp_full_match(concat_ws(' ', a0, a1, a2), '\\d{{4}} \\d{{4}} \\d{{4}}'))
+        SELECT doc_id, 'name' AS pii_type, count(*) AS n FROM b GROUP BY doc_id""",
+)(lambda spark, d: geometry.box_stats(geometry.boxes(_derived(spark, d, notes.BOXES), "audit")))
 
 _STREAM = f"SELECT doc_id, 'BT (' || text || ') Tj T* (' || CAST(doc_id % 10000 + 1000 AS STRING) || ') Tj ( 1999. ) ET' AS s FROM ({notes.NOTES})"
 query("p07_blank_streams")(lambda spark, d: _notes(spark, d).select("doc_id", streams.blank_literals(F.concat(F.lit("BT ("), "text", F.lit(") Tj")), notes.NAMES[:3]).alias("s")))
@@ -387,6 +447,24 @@ def _(spark, d):
     return audit.dashboard(_derived(spark, d, notes.JOBS))
 
 
+def _maps(spark, d):
+    """job_id, file_ord, name, stats: a map of statistics for each file."""
+    return _derived(spark, d, notes.STATS).groupBy("job_id", "file_ord", "name").agg(F.map_from_entries(F.collect_list(F.struct("pii_type", "n"))).alias("stats"))
+
+
+@query("a06_result_cards", f"SELECT job_id, count(DISTINCT file_ord) AS file_count, CAST(sum(n) AS BIGINT) AS total, count(DISTINCT pii_type) AS types FROM ({notes.STATS}) GROUP BY job_id")
+def _(spark, d):
+    files = _maps(spark, d).groupBy("job_id").agg(F.collect_list(F.struct("name", "stats")).alias("files"))
+    summary = audit.job_summary(_derived(spark, d, notes.STATS)).groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("pii_type", "n"))).alias("summary"))
+    return audit.result_cards(files.join(summary, "job_id"))
+
+
+@query("a07_file_sums", f"SELECT job_id, file_ord, CAST(sum(n) AS BIGINT) AS total, format('{{:,}}', CAST(sum(n) * 1000 AS BIGINT)) AS shown FROM ({notes.STATS}) GROUP BY ALL")
+def _(spark, d):
+    total = audit.file_sum(F.col("stats"))
+    return _maps(spark, d).select("job_id", "file_ord", total.alias("total"), audit.shown(total * 1000).alias("shown"))
+
+
 @query("a08_type_lists", f"SELECT job_id, file_ord, string_agg(pii_type, ', ' ORDER BY pii_type) AS types, CAST(sum(n) AS BIGINT) AS total FROM ({notes.STATS}) GROUP BY ALL")
 def _(spark, d):
     stats = _derived(spark, d, notes.STATS).groupBy("job_id", "file_ord").agg(F.map_from_entries(F.collect_list(F.struct("pii_type", "n"))).alias("stats"))
@@ -412,6 +490,13 @@ def _(spark, d):
     return audit.progress(_derived(spark, d, notes.STATS).select("job_id", "file_ord").distinct())
 
 
+@query("x02_seeded_users", f"SELECT username, role FROM ({notes.USERS}) UNION ALL SELECT 'owner', 'admin'")
+def _(spark, d):
+    users = _derived(spark, d, notes.USERS)
+    first = spark.createDataFrame([("owner", "x", "admin")], "username string, password_hash string, role string").withColumn("created_at", F.current_date())
+    return audit.seeded(users, first).union(audit.seeded(users.filter("false"), first)).select("username", "role")
+
+
 @query("x03_insert_user", f"SELECT username, role FROM ({notes.USERS}) UNION ALL SELECT 'new one', 'analyst'")
 def _(spark, d):
     users = _derived(spark, d, notes.USERS)

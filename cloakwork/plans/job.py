@@ -28,8 +28,11 @@ class Job:
     unknown_fields: DataFrame | None = None
 
 
-def submit(spark: SparkSession, docs: DataFrame, mode: str, *, words=None, schema=None, ner=None, scan_limit=context.SCAN_LIMIT, skip_blank=False, run_by="-") -> Job:
-    """Redacts docs (doc_id, file_ord, name, text, …). An error gives a job with its row, not an exception."""
+def submit(spark: SparkSession, docs: DataFrame, mode: str, *, words=None, schema=None, ner=None, scan_limit=None, skip_blank=False, run_by="-") -> Job:
+    """Redacts docs (doc_id, file_ord, name, text, …). An error gives a job with its row, not an exception.
+
+    The corpus is scanned for names whatever its size; a web service that must answer soon may give a scan_limit.
+    """
     job_id, schema = str(uuid.uuid4())[:8], schema or {}
     rules.active(mode)
     try:

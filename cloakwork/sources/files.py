@@ -12,22 +12,39 @@ from pyspark.sql.types import StringType
 from cloakwork.functions.text import newlines, rejoined_literals, visible
 from cloakwork.operators.audit import suffix
 from cloakwork.sources import office
+from cloakwork.storage import materialise
 
 EXTENSIONS = (".txt", ".pdf", ".docx", ".csv", ".xlsx", ".sql")
-#: Bytes of one upload.
+#: Bytes of one upload to a service; a folder's files may be larger.
 MOST_BYTES = 100 * 1024 * 1024
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, name, ext, content of the folder's files (not of folders in it) that can be read."""
+    """path, length, name, ext, content of the folder's files (not of folders in it) that can be read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return found.select("path", name.alias("name"), suffix(name).alias("ext"), "content").filter(F.col("ext").isin(*EXTENSIONS))
+    return found.select("path", "length", name.alias("name"), suffix(name).alias("ext"), "content").filter(F.col("ext").isin(*EXTENSIONS))
+
+
+def uploads(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
+    """path, name, length, accepted of what a service was sent: whether it is of a known kind and not too large."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select("path", name.alias("name"), "length", (suffix(name).isin(*EXTENSIONS) & (F.col("length") <= most)).alias("accepted"))
 
 
 def with_order(files: DataFrame) -> DataFrame:
-    """files with file_ord, from 0 by path. Only paths are sorted."""
-    order = files.select("path").withColumn("file_ord", (F.row_number().over(Window.orderBy("path")) - 1).cast("int"))
+    """files with file_ord, from 0 by path.
+
+    Only paths are sorted: dealt out by range, ranked in each part, and moved up by what the parts before it hold.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(files.select("path").repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id()), "file-order")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("rows"))
+    # One row for each part.
+    before = sizes.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("path")))
+    order = ranked.join(F.broadcast(before), "part").select("path", (F.col("rank") + F.col("before") - 1).cast("int").alias("file_ord"))
     return files.join(order, "path")
 
 
@@ -73,9 +90,9 @@ def read_pdf(files: DataFrame) -> DataFrame:
 READERS = {".txt": read_text, ".pdf": read_pdf, ".docx": read_docx, ".csv": read_csv, ".xlsx": read_xlsx, ".sql": read_sql}
 
 
-def read(spark: SparkSession, folder: str, most: int = MOST_BYTES) -> DataFrame:
-    """doc_id, file_ord, path, name, ext, content, text of a folder; doc_id is file_ord."""
-    files = with_order(listing(spark, folder).filter(F.length("content") <= most))
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, file_ord, path, name, ext, content, text of a folder's files, whatever their size; doc_id is file_ord."""
+    files = with_order(listing(spark, folder))
     out = None
     for ext, reader in READERS.items():
         part = reader(files.filter(F.col("ext") == ext))

@@ -55,6 +55,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "e.xlsx").write_bytes(office.xlsx_bytes([("S1", [["a", "1"], ["", "b@x.co"]]), ("S2", [["z"]])]))
     (tmp_path / "f.xlsx").write_bytes(b"broken")
     (tmp_path / "g.png").write_bytes(b"not read")
+    assert {r["name"] for r in files.uploads(spark, str(tmp_path), 50).filter("not accepted").collect()} == {"d.docx", "e.xlsx", "g.png"}
     got = {r["name"]: r for r in files.read(spark, str(tmp_path)).collect()}
     assert {n: r["file_ord"] for n, r in got.items()} == {"a.txt": 0, "b.CSV": 1, "c.sql": 2, "d.docx": 3, "e.xlsx": 4, "f.xlsx": 5}
     assert got["a.txt"]["text"] == "one\ntwo a@x.co" and got["b.CSV"]["text"] == "x,ABCDE 1234F\n" and got["c.sql"]["text"] == "'PQRSX9876Z'"

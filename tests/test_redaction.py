@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakwork.operators import context, gazetteer, ner, redact, rules, spans, vault
+from cloakwork.plans import job
 
 WORDS = ["priya", "nair", "rao", "kumar"]
 
@@ -64,6 +65,37 @@ def test_scanned_names(spark):
     assert context.scan(docs(spark, "customer Priya Nair contacted support"), WORDS, limit=10) == []
 
 
+def test_names_pattern(spark):
+    """The tree of names finds what an alternation, longest first, finds."""
+    names = ["Anna", "Anna Smith", "anna smithers", "Bob", "C++", "Ünal Ek", "x.y", "a b"]
+    flat = "(?iu)" + "|".join(f"\\Q{n}\\E" for n in redact.ordered_names(names))
+    texts = docs(spark, "ANNA SMITHERS annabel Anna Smit bobby c++ c+ ünal EK xxy X.Y", "a b anna smith", "", "Anna Smithe")
+    got = texts.select(F.regexp_extract_all("text", F.lit(redact.names_pattern(names)), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(flat), F.lit(0)).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and got[0]["a"][0] == "ANNA SMITHERS"
+    assert redact.names_pattern(["n" * 5000 + str(i) for i in range(3)]).count("n") == 5000
+    assert redact.redact(docs(spark, "abc"), "audit", [""]).first()["redacted"] == "abc"
+
+
+@pytest.mark.parametrize("mode", ["audit", "research"])
+def test_filters_on_results(spark, mode):
+    """Filters and generators on every result column leave a plan that ends."""
+    r = redact.redact(docs(spark, "Card 4111-1111-1111-1111 a.b@x.co", "nothing here"), mode, ["Anna Smith"], {"IFSC": {"is_pii": True, "modes": ["audit"]}}, WORDS)
+    assert r.filter("total > 0").count() == 1 and r.filter("size(stats) > 0 and redacted like '%x%'").count() == 0
+    assert {(x[0], x[1]) for x in r.select(F.explode("stats")).collect()} == {("card", 1), ("email", 1)}
+    assert r.select(F.explode(F.split("redacted", " ")).alias("w")).filter("w = 'here'").count() == 1
+    assert r.join(r.select(F.col("redacted").alias("other")), F.col("redacted") == F.col("other")).count() == 2
+    assert r.groupBy("total").count().filter("total = 2").first()["count"] == 1
+
+
+def test_large_job_knows_names(spark):
+    """A job of more than a megabyte is scanned for names as any other."""
+    texts = docs(spark, "customer Priya Nair contacted support", "x " * 600_000, "then PRIYA NAIR wrote").withColumn("file_ord", F.col("doc_id").cast("int")).withColumn("name", F.lit("a.txt"))
+    done = job.submit(spark, texts, "audit")
+    assert done.names == ["Priya Nair"]
+    assert done.redacted.filter("doc_id = 2").first()["redacted"] == "then [NAME] wrote"
+    assert job.submit(spark, texts, "audit", scan_limit=context.SCAN_LIMIT).names == []
+
+
 def test_learned_fields(spark):
     schema = {"IFSC": {"is_pii": True, "modes": ["audit"]}, "MRN": {"is_pii": False, "modes": []}}
     assert out(spark, "IFSC: HDFC0001234 MRN 12", schema=schema) == ("IFSC: [REDACTED] MRN 12", {"IFSC": 1})
@@ -133,11 +165,10 @@ def test_gazetteer_spans(spark):
     assert sorted((r["start"], r["end"], r["value"]) for r in got) == [(2, 15, "Contact Priya"), (16, 24, "Nair Rao")]
 
 
-def finder():
-    return lambda text: [(m, m + 5, text[m : m + 5], "GPE") for m in range(len(text) - 4) if text[m : m + 5] == "Delhi"] + [(0, 3, text[:3], "ORG")]
-
-
 def test_entity_stage(spark):
+    def finder():  # in here, so that workers get it whole
+        return lambda text: [(m, m + 5, text[m : m + 5], "GPE") for m in range(len(text) - 4) if text[m : m + 5] == "Delhi"] + [(0, 3, text[:3], "ORG")]
+
     stage = ner.stage(WORDS, finder)
     r = redact.redact(docs(spark, "Rao Kumar of Delhi"), "audit", ner=stage).first()
     assert r["redacted"] == "[NAME] of [LOCATION]" and r["stats"] == {"NER-Name": 1, "NER-GPE": 1}
