@@ -1,10 +1,8 @@
-"""What the operators of this subpackage share: reading, shared storage, Arrow helpers."""
+"""What the operators of this subpackage share: reading, tables between steps, Arrow helpers."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakwork.storage import discard, materialise, shared_dir
+
+__all__ = ["discard", "materialise", "shared_dir"]
+
 #: A-Z to a-z, other bytes unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -20,27 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local session, where driver and executors are one process, may go without it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"file://{tempfile.gettempdir()}/cloakwork-checkpoints"
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of what finished steps have shuffled, without waiting for the driver to collect its garbage."""
     gc.collect()
@@ -52,6 +33,22 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: A key with more than this share of all rows is hot; there are at most 1 / HOT such keys.
+HOT = 0.001
+
+
+def matched(rows: DataFrame, groups: DataFrame, on: list[str], n: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which has one row for each key and in n how many of the rows have it.
+
+    The rows of hot keys stay where they are: their groups, 1 / HOT at most, are broadcast. So no key's rows are all
+    dealt to one task. rows and groups are read twice, and should be tables.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(groups.filter(F.col(n) > HOT * total))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(groups.filter(F.col(n) <= HOT * total), on, how)
+    return rest.unionByName(rows.join(hot, on).select(*rest.columns))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each row of an Arrow string column."""
     return column.cast(pa.binary()).to_pylist()

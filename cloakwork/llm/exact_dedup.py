@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import BYTE_WORDS, batch, materialise, rolling, sub_batches, text_bytes, texts
+from cloakwork.llm.common import BYTE_WORDS, batch, matched, materialise, rolling, sub_batches, text_bytes, texts
 
 #: Chunk sizes in bytes: least, about the mean above the least (a power of two), most.
 LEAST, MEAN, MOST = 4096, 8192, 65536
@@ -95,5 +95,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     rows = texts(docs).mapInArrow(_recipes(chunk_clashes(docs)), "doc_id long, text_sha256 string, recipe binary")
     rows = materialise(rows, "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = materialise(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "recipe-groups")
+    return matched(rows, groups, ["recipe"], "group_size").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -1,9 +1,9 @@
 """Secret scans: patterns in each text, then how widely each candidate is owned over the corpus.
 
 Base spans are what the patterns find. Then each candidate value is hashed and counted by
-distinct repositories (source and language) and owners (source) over all documents. A value that few owners
-hold looks live and its span is added under kind "live"; a value that many owners have copied is
-an example and its span is added under kind "example". Counting is by partial sums of (value,
+distinct repositories (source and language) and owners (source) over all documents. A value that WIDE_OWNERS owners or
+WIDE_REPOS repositories hold has been copied widely: its span is added under kind "example". Any other looks like
+its owner's live credential: its span is added under kind "live". Counting is by partial sums of (value,
 repository, owner), so a value that every document holds moves as one row for each task.
 
 Defined results: null texts are empty; empty texts have no spans; a null source is an owner of
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import LOWER, batch, materialise, sub_batches, texts
+from cloakwork.llm.common import LOWER, batch, matched, materialise, sub_batches, texts
 
 #: Kinds in their order; the first three are base.
 KINDS = ("assign", "access", "hex", "live", "example")
-#: Owners up to which a value counts as live.
-OWNERS = 1
+#: Owners, and repositories, from which a value counts as copied widely.
+WIDE_OWNERS, WIDE_REPOS = 3, 4
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 #: For maximal runs a least length in the pattern equals a filter after it.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{12,}"), re.compile(r"[0-9a-f]{32,}")
@@ -66,21 +66,21 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, n_repos, n_owners: over all rows of scan()."""
-    held = found.select(F.explode("found.value").alias("value"), F.struct("source", "lang").alias("repo"), "source").distinct()
-    owned = held.groupBy("value", "source").agg(F.count("*").alias("n"))
-    return owned.groupBy("value").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
+    """value, n_repos, n_owners, n_found: over all rows of scan()."""
+    held = found.select(F.explode("found.value").alias("value"), "source", "lang").groupBy("value", "source", "lang").agg(F.count("*").alias("n_found"))
+    owned = held.groupBy("value", "source").agg(F.count("*").alias("n_repos"), F.sum("n_found").alias("n_found"))
+    return owned.groupBy("value").agg(F.sum("n_repos").alias("n_repos"), F.count("*").alias("n_owners"), F.sum("n_found").alias("n_found"))
 
 
-def secret_spans(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
+def secret_spans(docs: DataFrame, owners: int = WIDE_OWNERS, repos: int = WIDE_REPOS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example: one row for each row of docs."""
     rows = scan(docs)
     some = rows.filter(F.size("found") > 0)
-    widths = ownership(some)
+    widths = materialise(ownership(some), "secret-owners")
     # Rows that repeat a doc_id with equal findings are classified once, so the join below keeps every row.
     keyed = some.select("doc_id", "found", F.explode("found").alias("s")).distinct()
-    told = keyed.join(widths, keyed["s"]["value"] == widths["value"])
-    live = F.when(F.col("n_owners") <= owners, F.lit(KINDS.index("live"))).otherwise(F.lit(KINDS.index("example")))
+    told = matched(materialise(keyed.withColumn("value", F.col("s.value")), "secret-values"), widths, ["value"], "n_found")
+    live = F.when((F.col("n_owners") < owners) & (F.col("n_repos") < repos), F.lit(KINDS.index("live"))).otherwise(F.lit(KINDS.index("example")))
     added = told.groupBy("doc_id", "found").agg(F.collect_set(F.struct(F.col("s.from").alias("start"), live.alias("kind"), F.col("s.end").alias("end"))).alias("added"))
     left, right = rows.alias("l"), added.alias("r")
     both = left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.found") == F.col("r.found")), "left")

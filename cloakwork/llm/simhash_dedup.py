@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import LOWER, batch, materialise, sub_batches, text_bytes, texts
+from cloakwork.llm.common import LOWER, batch, matched, materialise, sub_batches, text_bytes, texts
 from cloakwork.llm.graph import connected_components
 
 #: Words in a shingle, the hash's seed, the bits in which linked fingerprints may differ.
@@ -89,9 +89,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialise(fingerprints(docs), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     nodes = materialise(connected_components(links(fps.select("fp"))), "components")
-    linked = nodes.join(fps, nodes["node"] == fps["fp"])
-    named = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"))
-    classes = linked.select("fp", "component").join(named, "component").select("fp", "component_id", "group_size")
-    alone = fps.join(nodes, fps["fp"] == nodes["node"], "left_anti").filter("n > 1").select("fp", F.col("first").alias("component_id"), F.col("n").alias("group_size"))
-    out = rows.join(classes.union(alone), "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
+    # A component may hold any number of fingerprints, so what it comes to goes back to them as to rows of a hot key.
+    linked = materialise(fps.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "linked-fingerprints")
+    named = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("n_fps"))
+    named = materialise(named, "fingerprint-components")
+    classes = matched(linked.select("fp", "n", "component"), named, ["component"], "n_fps").select("fp", "n", "component_id", "group_size")
+    out = matched(rows, materialise(classes, "fingerprint-classes"), ["fp"], "n")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("group_size").cast("long").alias("group_size"))

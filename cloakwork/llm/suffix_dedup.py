@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import BYTE_WORDS, batch, materialise, rolling, sub_batches, texts
+from cloakwork.llm.common import BYTE_WORDS, batch, matched, materialise, rolling, sub_batches, texts
 
 #: Bytes of a passage and of an anchor.
 WIDTH, ANCHOR = 200, 32
@@ -312,20 +312,20 @@ def _finish(batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc and tag: which text a place is in; the tag tells apart texts under one doc_id."""
-    return texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.crc32(F.col("text").cast("binary")).bitwiseAND(0xFFFFFF).alias("tag"), "text")
+    """doc and tag: which row's text a place is in, by 88 bits of doc_id and text; rows alike in both are one, and copies of each other."""
+    return texts(docs).select("doc_id", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("doc"), F.crc32(F.col("text").cast("binary")).bitwiseAND(0xFFFFFF).alias("tag"), "text")
 
 
 def repeated_marks(docs: DataFrame) -> DataFrame:
     """doc, tag, start, end: byte spans that cover exactly the repeated WIDTH-byte strings; they may overlap."""
     keyed, tag = _keyed(docs), F.shiftrightunsigned("at", 39)
     found = materialise(keyed.select("doc", "text").mapInArrow(_anchors, "h long, d long, doc long, at long"), "anchors")
-    shared = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    found = materialise(found.join(shared, "h"), "shared-anchors")
+    shared = materialise(found.groupBy("h").agg(F.count("*").alias("n_h")).filter("n_h > 1"), "anchor-counts")
+    found = materialise(matched(found, shared, ["h"], "n_h").drop("n_h"), "shared-anchors")
     kinds = found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one"))
     kinds = materialise(kinds, "run-kinds")
     first = F.shiftrightunsigned("at", 8).bitwiseAND(0x7FFFFFFF)
-    whole = found.join(kinds.filter("n > 1").select("h", "d"), ["h", "d"]).select("doc", tag.alias("tag"), first.alias("start"), (first + F.col("at").bitwiseAND(0xFF) + WIDTH).alias("end"))
+    whole = matched(found, kinds.filter("n > 1").select("h", "d", "n"), ["h", "d"], "n").select("doc", tag.alias("tag"), first.alias("start"), (first + F.col("at").bitwiseAND(0xFF) + WIDTH).alias("end"))
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter("kinds > 1 and singles > 0")
     wanted = kinds.join(mixed, "h").select("h", (F.col("kinds") > MOST_RUNS).alias("hot"), (F.col("n") == 1).alias("alone"), "one.doc", "one.at")
     wanted = wanted.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("h", "hot", "alone", "at")).alias("wanted"))

@@ -73,16 +73,20 @@ def test_secrets(spark, small):
         *small, (60, f"ü password = '{shared}' and token:short, token=secret:abcdefgh12", "s1"), (61, f"API_KEY=\"{shared}\"", "s2"), (62, f"see {own}", "s3"), (62, f"see {own}", "s3"),
         (63, "AKIA" + "Z" * 12 + " AKIAAKIA AKIAshort " + "AKIA" + "9" * 30, None), (64, "Apikey: abcdefgh passwd=\"ABCDEFGHIJ\" ſecret=abcdefgh1 toKen=12345678", "s1"), (65, "AKIA" + "Z" * 12, None),
     ]
-    got = secrets.secret_spans(frame(spark, rows)).collect()
-    owners = defaultdict(set)
-    for _, t, s in rows:
+    copied = "facade01" * 4  # by one owner, in as many repositories as make it an example
+    rows += [(80 + i, f"é {copied}", "s1") for i in range(4)]
+    wide = spark.createDataFrame([(i, t, f"l{i % 5}", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, key int")
+    owners, repos = defaultdict(set), defaultdict(set)
+    for i, t, s in rows:
         for a, _, e, v in brute_secrets(t):
             owners[t[v:e]].add(s)
-    want = []
+            repos[t[v:e]].add((s, f"l{i % 5}"))
+    assert len(owners[copied]) == 1 and len(repos[copied]) == 4 and len(owners[shared]) == 2
+    got, want = secrets.secret_spans(wide).collect(), []
     for doc, t, _ in rows:
         base = brute_secrets(t)
         joined = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e, _ in base)
-        extra = {(v, 3 if len(owners[t[v:e]]) <= 1 else 4, e) for _, _, e, v in base}
+        extra = {(v, 3 if len(owners[t[v:e]]) < 3 and len(repos[t[v:e]]) < 4 else 4, e) for _, _, e, v in base}
         every = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted([(a, k, e) for a, k, e, _ in base] + list(extra)))
         n = Counter(k for _, k, _, _ in base)
         want.append((doc, n[0], n[1], n[2], hashlib.sha256(joined.encode()).hexdigest(), every))
