@@ -128,6 +128,27 @@ def test_passages(spark, small, monkeypatch):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_passages_without_ids(spark):
+    """Rows without ids, and of one id, are told apart by their texts."""
+    text = lambda k, n=310: "".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest() for i in range(9))[:n]
+    rows = [(None, text(1), "s"), (None, text(2), "s"), (7, text(2)[:300], "s"), (None, None, "s"), (8, text(3), "s"), (8, text(4), "s"), (9, text(4), "s")]
+    want = removed(rows)
+    assert Counter(tuple(x) for x in suffix_dedup.remove_repeats(frame(spark, rows)).collect()) == want
+    assert sum(x[2] for x in want) == 300 * 2 + 310 * 2
+
+
+def test_hot_keys(spark, monkeypatch):
+    """What stays where it is and what is dealt by key come to the same as one join."""
+    from cloakwork.llm import common
+
+    rows = spark.createDataFrame([(k, i) for k in range(9) for i in range(10**(k % 3))], "k int, i int")
+    groups = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    want = Counter(tuple(r) for r in rows.join(groups, "k").collect())
+    for share in (0.001, 0.1, 0.9):
+        monkeypatch.setattr(common, "HOT", share)
+        assert Counter(tuple(r) for r in common.matched(rows, groups, ["k"], "n").collect()) == want
+
+
 def test_parts_from_different_neighbours(spark):
     """A run whose two sides are shared with different documents repeats only where one document has both."""
     r = np.random.default_rng(5)
@@ -192,6 +213,20 @@ def test_lines(spark):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_lines_of_hard_rows(spark):
+    """Null and repeated ids, ties, repeated rows, and a very long line with words changed and put in."""
+    r = np.random.default_rng(8)
+    long = random_line(r, 30_000)
+    w = long.split()
+    for i in range(40, len(w), 40):
+        w[i] = "changed"
+    w[1000:1000] = ["some", "words", "put", "in"]
+    twins = "a twin of another line\nA twin, of another line!"
+    rows = [(None, "only here and nowhere else in these rows", "s"), (None, None, "s"), (5, long, "s"), (6, " ".join(w), "s"), (7, long[:20_000], "s"), (8, twins, "s"), (8, twins, "s")]
+    got = Counter((x["doc_id"], x["n_lines"], x["n_removed"]) for x in line_dedup.line_dedup(frame(spark, rows)).collect())
+    assert got == Counter([(None, 1, 0), (None, 1, 0), (5, 1, 0), (6, 1, 1), (7, 1, 0), (8, 2, 1), (8, 2, 1)])
+
+
 def test_line_simhash(spark):
     """The packed sums give the plain SimHash of the words' hashes."""
     texts = ["three a four bc fives", "once twice three four five", " ".join(f"word{i % 37} {i % 7}" for i in range(1000)), "long", *(" ".join(f"word{i}" for i in range(n)) for n in (127, 128, 255))]
