@@ -328,3 +328,34 @@ def test_recall_by_length(spark):
     recall = {k: found[k] / every[k] for k in every}
     print({k: f"{found[k]} of {every[k]}" for k in every})
     assert all(recall[n, 0.02] >= 0.95 and recall[n, 0.05] >= 0.85 for n in (50, 90, 150, 300))
+
+
+def distance(a, b):
+    """Edit distance by bit vectors, one bit for each character of a."""
+    places, full = defaultdict(int), (1 << len(a)) - 1
+    for i, x in enumerate(a):
+        places[x] |= 1 << i
+    more, less, out = full, 0, len(a)
+    for x in b:
+        eq = places.get(x, 0)
+        d = (((eq & more) + more) ^ more) | eq | less
+        up, down = less | ~(d | more) & full, d & more
+        out += (up >> len(a) - 1 & 1) - (down >> len(a) - 1 & 1)
+        up, down = up << 1 | 1, down << 1
+        more, less = (down | ~(d | up)) & full, up & d & full
+    return out
+
+
+def test_recall_on_the_tables(spark):
+    """All pairs of the distinct lines of up to 250 characters of the smallest table, held against the groups."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choice(list("abc"), int(rng.integers(1, 12)))) for _ in range(2))
+        assert abs(1 - distance(a, b) / max(len(a), len(b)) - similarity(a, b)) < 1e-9
+    every = line_dedup.lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    texts = sorted((r[0] for r in every.select("norm").distinct().filter("length(norm) <= 250").collect()), key=len)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(texts[j]) >= 0.8 * len(texts[i]) and distance(texts[j], texts[i]) <= int(0.2 * len(texts[i]) + 1e-9)]
+    keeps = line_keeps(spark, texts)
+    found = sum(keeps[i] == keeps[j] for i, j in near)
+    print(f"{found} of {len(near)} pairs of {len(texts)} lines")
+    assert near and found >= 0.9 * len(near)
