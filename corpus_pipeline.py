@@ -4,7 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 again as the next stage's docs. All but the last keep the columns of docs.
 
 Documents are named by doc_id. Rows that repeat a doc_id are one document where a stage looks for
-copies; a stage that drops a document drops all its rows.
+copies; a stage that drops a document drops all its rows. Rows without a doc_id are one document in that sense too.
+
+A null or empty text has no quality and goes in the first stage. Very long texts are treated whole. Of equal texts the
+largest doc_id stays, of near copies the smallest. Empty tables give no rows; other columns stay up to the last stage.
 """
 
 from __future__ import annotations
