@@ -18,7 +18,8 @@ the same marks by sums that spread over all tasks.
 
 Defined results: a null text is empty; texts under 200 bytes have nothing to repeat unless they
 hold one whole; matches never cross documents; repeated rows are copies of each other and each
-get their row; no rows give no rows; other columns are not looked at.
+get their row; rows without a doc_id, or with the same one, are told apart by their texts; no rows give no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakwork.llm.common import BYTE_WORDS, batch, matched, materialise, rolling, sub_batches, texts
+from cloakwork.llm.common import BYTE_WORDS, batch, discard, matched, materialise, release, rolling, sub_batches, texts
 
 #: Bytes of a passage and of an anchor.
 WIDTH, ANCHOR = 200, 32
@@ -319,9 +320,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_marks(docs: DataFrame) -> DataFrame:
     """doc, tag, start, end: byte spans that cover exactly the repeated WIDTH-byte strings; they may overlap."""
     keyed, tag = _keyed(docs), F.shiftrightunsigned("at", 39)
-    found = materialise(keyed.select("doc", "text").mapInArrow(_anchors, "h long, d long, doc long, at long"), "anchors")
-    shared = materialise(found.groupBy("h").agg(F.count("*").alias("n_h")).filter("n_h > 1"), "anchor-counts")
-    found = materialise(matched(found, shared, ["h"], "n_h").drop("n_h"), "shared-anchors")
+    spark = docs.sparkSession
+    every = materialise(keyed.select("doc", "text").mapInArrow(_anchors, "h long, d long, doc long, at long"), "anchors")
+    shared = materialise(every.groupBy("h").agg(F.count("*").alias("n_h")).filter("n_h > 1"), "anchor-counts")
+    release(spark)
+    found = materialise(matched(every, shared, ["h"], "n_h").drop("n_h"), "shared-anchors")
+    discard(every)
+    discard(shared)
+    release(spark)
     kinds = found.groupBy("h", "d").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("one"))
     kinds = materialise(kinds, "run-kinds")
     first = F.shiftrightunsigned("at", 8).bitwiseAND(0x7FFFFFFF)
