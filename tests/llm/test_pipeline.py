@@ -28,7 +28,8 @@ def test_pipeline(spark):
     # By the words themselves: a document with all words of a window in order, or of a shorter item, is out.
     lines = [" " + " ".join(cut(t)) + " " for _, t in items]
     wanted = {" " + " ".join(w[i : i + 8]) + " " for w in map(str.split, lines) if w for i in range(max(1, len(w) - 7))}
-    bad = {i for i, t, _ in rows if any(w in " " + " ".join(cut(t)) + " " for w in wanted)}
+    texts = {i: " " + " ".join(cut(t)) + " " for i, t, _ in rows}
+    bad = {i for i, line in texts.items() if any(w in line for w in wanted)}
     assert bad
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     want = {i: model.encode(t) for i, t, _ in rows if i not in bad}
