@@ -238,6 +238,24 @@ def test_line_simhash(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_lines_are_shuffled_once(spark):
+    """Distinct lines and their features take one shuffle of the texts, and no generator carries a line's words."""
+    every = line_dedup.lines(frame(spark, [(1, "some words of a line\nand of one more", "s"), (2, "some words of a line", "s")]))
+    plan = line_dedup.distinct_lines(every)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    exploded = [x for x in plan.split("\n") if "Generate posexplode" in x and "tokens" in x]
+    assert len(exploded) == 1 and "tokens" not in exploded[0].split("], true, [")[0].split(", [")[-1]
+
+
+def test_equal_bytes(spark):
+    r = np.random.default_rng(5)
+    rows = [tuple(int.from_bytes(bytes(int(x) for x in r.choice([0, 1, 127, 128, 255], 8)), "big", signed=True) for _ in range(2)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    got = [tuple(x) for x in df.select("a", "b", line_dedup._equal(df["a"], df["b"])).collect()]
+    raw = lambda n: n.to_bytes(8, "big", signed=True)
+    assert got == [(a, b, sum(x == y != 0 for x, y in zip(raw(a), raw(b)))) for a, b in rows]
+
+
 def test_large_line_buckets(spark, monkeypatch):
     """With leaders, every line of a tight cluster still falls into one group."""
     monkeypatch.setattr(line_dedup, "PAIRS", 2)
