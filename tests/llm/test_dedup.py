@@ -298,6 +298,43 @@ def test_hot_line_buckets_against_brute_force(spark, monkeypatch):
     assert line_keeps(spark, texts) == want
 
 
+def test_hot_line_keys_by_length_bands(spark, monkeypatch):
+    """Hot keys up to CELL lines in a band take no finer keys, which hold each line many times; larger ones do, with the same groups."""
+    r = np.random.default_rng(4)
+    texts = []
+    for chain in range(3):
+        w = [f"{'abcdefgh'[int(x)]}{x}{'qrstuv'[int(x) % 6] * (1 + int(x) % 3)}" for x in r.permutation(24) % 8]
+        for _ in range(8):
+            texts.append(" ".join(w))
+            i, j = r.choice(24, 2, replace=False)
+            w[i], w[j] = w[j], w[i]
+    texts = list(dict.fromkeys(texts))
+    want, tags = brute_keeps(texts), []
+    write = line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, tag: tags.append(tag) or write(df, tag))
+    monkeypatch.setattr(line_dedup, "PAIRS", 2)
+    assert line_keeps(spark, texts) == want and "line-hot" in tags and "line-fine" not in tags
+    monkeypatch.setattr(line_dedup, "CELL", 2)
+    assert line_keeps(spark, texts) == want and "line-fine" in tags
+
+
+def test_line_candidates_are_compiled(spark):
+    """The JVM compiles no method of over 8,000 bytes; one that compares all pairs must not be left to its interpreter."""
+    members = spark.createDataFrame([], "key long, id long, len int, simhash long, s0 long, s1 long, in_key long, lead long, grp long")
+    pairs = [line_dedup._small(members).groupBy("a", "b").agg({"star": "max"}), line_dedup._led(members.withColumn("fine", members["key"]), 8, True)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation")
+    try:
+        for df in pairs:
+            stages = df._jdf.queryExecution().debug().codegenToSeq()
+            longest = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+            assert longest and max(longest) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+
+
 def edited(r, text, share):
     """text with so many characters replaced, removed or put in at random places."""
     t = list(text)
