@@ -24,11 +24,14 @@ def _collected(df: DataFrame, name: str, found: Column, put: Column) -> DataFram
     return df.withColumn("text", F.when(F.size(f"hits_{name}") > 0, put).otherwise(F.col("text")))
 
 
-def apply_rules(df: DataFrame, mode: str, fill=None) -> DataFrame:
-    """Adds hits_<type> for each active rule; `fill` gives a type's replacement (default: the mode's)."""
+def apply_rules(df: DataFrame, mode: str, fill=None, ascii: bool = False) -> DataFrame:
+    """Adds hits_<type> for each active rule; `fill` gives a type's replacement (default: the mode's).
+
+    ascii: only ASCII letters make words, as in SQL engines with RE2; without it, letters of any script do.
+    """
     fill = fill or (lambda t: rules.replacement(t, mode))
     for r in rules.active(mode):
-        df = _collected(df, r.name, rules.hits(F.col("text"), r), F.regexp_replace("text", r.java, fill(r.name)))
+        df = _collected(df, r.name, rules.hits(F.col("text"), r, ascii), F.regexp_replace("text", r.compiled(ascii), fill(r.name)))
     return df
 
 
@@ -130,18 +133,21 @@ def stats_map(mode: str, schema: dict) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["v"] > 0))
 
 
-def redact(docs: DataFrame, mode: str, names: list[str] = (), schema: dict | None = None, words: list[str] | None = None, ner=None) -> DataFrame:
+def redact(docs: DataFrame, mode: str, names: list[str] = (), schema: dict | None = None, words: list[str] | None = None, ner=None, ascii: bool = False) -> DataFrame:
     """docs (doc_id, text and others) with redacted, stats and total; text is left as it came.
 
     names: known names; schema: learned fields; words: the gazetteer, lower case; ner: a function
-    of (DataFrame with text, mode) that replaces model entities and adds ner_stats (see ner.py).
+    of (DataFrame with text, mode) that replaces model entities and adds ner_stats (see ner.py);
+    ascii: see apply_rules (public and audit mode).
     """
     schema = schema or {}
+    if ascii and mode == "research":
+        raise ValueError("research mode takes letters of any script")
     df = docs.withColumn("_given", F.col("text")).withColumn("text", visible(F.coalesce("text", F.lit(""))))
     if mode == "research":
         df = vault.research(df, list(names), schema, words)
     else:
-        df = apply_rules(df, mode)
+        df = apply_rules(df, mode, ascii=ascii)
         df = apply_known_names(df, list(names), rules.replacement("name", mode))
         df = apply_fields(df, schema, mode)
         df = apply_gazetteer(df, words, rules.replacement("name", mode))

@@ -50,8 +50,8 @@ def _found(text: str, pattern: str, group: int = 0) -> str:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, redacted, total of all documents in audit mode."""
-    return redact.redact(_table(spark, d, "documents").select("doc_id", "text"), "audit").select("doc_id", "redacted", "total")
+    """doc_id, redacted, total of all documents in audit mode, words as its SQL has them."""
+    return redact.redact(_table(spark, d, "documents").select("doc_id", "text"), "audit", ascii=True).select("doc_id", "redacted", "total")
 
 
 # Sources, sinks and normalisation
@@ -143,8 +143,8 @@ def _single(rule: rules.Rule, table: str):
     def run(spark, d):
         docs = _notes(spark, d) if table == "notes" else _table(spark, d, table)
         df = docs.select("doc_id", tx.visible(F.col("text")).alias("text"))
-        found = rules.hits(F.col("text"), rule)
-        return df.select("doc_id", F.regexp_replace("text", rule.java, rules.replacement(rule.name, "audit")).alias("redacted"), F.size(found).cast("long").alias("total"))
+        found = rules.hits(F.col("text"), rule, True)
+        return df.select("doc_id", F.regexp_replace("text", rule.ascii, rules.replacement(rule.name, "audit")).alias("redacted"), F.size(found).cast("long").alias("total"))
 
     return run
 
@@ -156,7 +156,7 @@ for _i, _name in ((5, "ip"), (6, "email"), (8, "phone")):
 for _mode in ("public", "audit"):
     query(f"r13_chain_{_mode}", _chain_sql(notes.NOTES, _mode))(lambda spark, d, m=_mode: redact.redact(_notes(spark, d), m).select("doc_id", "redacted", "total"))
 query("t01_documents_audit", _chain_sql("SELECT doc_id, text FROM documents", "audit"))(flagship)
-query("t01_documents_public", _chain_sql("SELECT doc_id, text FROM documents", "public"))(lambda spark, d: redact.redact(_table(spark, d, "documents"), "public").select("doc_id", "redacted", "total"))
+query("t01_documents_public", _chain_sql("SELECT doc_id, text FROM documents", "public"))(lambda spark, d: redact.redact(_table(spark, d, "documents"), "public", ascii=True).select("doc_id", "redacted", "total"))
 
 
 @query(
@@ -330,7 +330,7 @@ def _places():
 
 
 query("g04_entity_stage", f"SELECT doc_id, regexp_replace(redacted, 'Th[a-z]{{4,}}', '[LOCATION]', 'g') AS redacted, CAST(total + len(regexp_extract_all(redacted, 'Th[a-z]{{4,}}')) AS BIGINT) AS total FROM ({_chain_sql('SELECT doc_id, text FROM documents', 'audit')})")(
-    lambda spark, d: redact.redact(_table(spark, d, "documents"), "audit", ner=ner.stage(notes.WORDS, _places)).select("doc_id", "redacted", "total")
+    lambda spark, d: redact.redact(_table(spark, d, "documents"), "audit", ner=ner.stage(notes.WORDS, _places), ascii=True).select("doc_id", "redacted", "total")
 )
 
 _KEPT = f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, prio) AS i FROM ({notes.SPANS})),
