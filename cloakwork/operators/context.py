@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakwork.functions.words import FIELD_HINTS, FOLLOWERS, NON_NAMES, ROLES
 from cloakwork.operators import gazetteer
 
+
+
+def _by_first_letter(patterns: tuple[str, ...]) -> str:
+    """An alternation of patterns of which no two fit at one place, tried by their first letters."""
+    ways: dict[str, list[str]] = {}
+    for p in patterns:
+        ways.setdefault(p[0], []).append(p[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in ways.items())
+
+
 #: Two words after a role; what follows must be closing punctuation, a line's end or one of the followers.
-NAME = rf"(?iU)(?:{'|'.join(ROLES)})[,:\s]+([A-Z][a-z]{{1,20}}\s+[A-Z][a-z]{{1,20}})(?=\s*[(,.\n\r]|\s+(?:{'|'.join(FOLLOWERS)})\b)"
+NAME = rf"(?iU)(?:{_by_first_letter(ROLES)})[,:\s]+([A-Z][a-z]{{1,20}}\s+[A-Z][a-z]{{1,20}})(?=\s*[(,.\n\r]|\s+(?:{'|'.join(FOLLOWERS)})\b)"
 FIELD = rf"(?iU)(?:{'|'.join(FIELD_HINTS)})[:\s#]+([A-Z0-9\-]+)"
 #: Bytes of a job above which a web service may skip the scan (see `scan`), and the most names a job may know.
 SCAN_LIMIT, MOST_NAMES = 1_000_000, 100_000
 
 
+def _may_be_name(name: Column) -> Column:
+    return ~F.exists(F.split(F.lower(name), r"(?U)\s+"), lambda w: w.isin(*NON_NAMES))
+
+
 def introduced(docs: DataFrame) -> DataFrame:
     """name: distinct names that a role introduces, over all documents."""
     found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(NAME), F.lit(1))).alias("name"))
-    return found.filter(~F.exists(F.split(F.lower("name"), r"(?U)\s+"), lambda w: w.isin(*NON_NAMES))).distinct()
+    return found.filter(_may_be_name(F.col("name"))).distinct()
 
 
 def listed(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -27,9 +41,12 @@ def listed(docs: DataFrame, words: list[str]) -> DataFrame:
 
 
 def known_names(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """name: what either detector finds in any document."""
-    out = introduced(docs)
-    return out.union(listed(docs, words)).distinct() if words else out
+    """name: what either detector finds in any document; the documents are read once."""
+    if not words:
+        return introduced(docs)
+    found = F.filter(F.regexp_extract_all("text", F.lit(NAME), F.lit(1)), _may_be_name)
+    named = F.filter(gazetteer.pairs(F.col("text")), lambda p: gazetteer.is_name(p, words))
+    return docs.select(F.explode(F.concat(found, named)).alias("name")).distinct()
 
 
 def fields(docs: DataFrame) -> DataFrame:
@@ -50,7 +67,7 @@ def scan(docs: DataFrame, words: list[str] | None = None, limit: int | None = No
     """
     if limit is not None and (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > limit:
         return []
-    names = [r[0] for r in known_names(docs.filter("text <> ''"), words).limit(MOST_NAMES + 1).collect()]
+    names = [r[0] for r in known_names(docs, words).limit(MOST_NAMES + 1).collect()]
     if len(names) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names: cut the job up")
     return sorted(names)

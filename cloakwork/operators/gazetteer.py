@@ -20,8 +20,10 @@ def fragments(text: Column) -> Column:
 
 
 def is_name(pair: Column, words: list[str]) -> Column:
-    both = F.split(F.lower(pair), r"(?U)\s+")
-    return F.exists(both, lambda w: w.isin(*words)) & ~F.exists(both, lambda w: w.isin(*NON_NAMES))
+    """Whether a pair holds a listed word and no word that no name holds; its words are ASCII, one capital first, so they are compared as they are."""
+    both = F.split(pair, r"(?U)\s+")
+    cased = [w.capitalize() for w in words if w.isascii() and w == w.lower()]
+    return F.exists(both, lambda w: w.isin(*cased)) & ~F.exists(both, lambda w: w.isin(*(n.capitalize() for n in NON_NAMES)))
 
 
 def vocabulary(first: DataFrame, last: DataFrame) -> DataFrame:

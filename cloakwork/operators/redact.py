@@ -30,9 +30,12 @@ def apply_rules(df: DataFrame, mode: str, fill=None, ascii: bool = False) -> Dat
     ascii: only ASCII letters make words, as in SQL engines with RE2; without it, letters of any script do.
     """
     fill = fill or (lambda t: rules.replacement(t, mode))
+    # One look for digits serves all rules: what they put in holds none.
+    df = df.withColumn("_digit", F.col("text").rlike(f"(?iU){rules.DIGIT}"))
     for r in rules.active(mode):
-        df = _collected(df, r.name, rules.hits(F.col("text"), r, ascii), F.regexp_replace("text", r.compiled(ascii), fill(r.name)))
-    return df
+        passes = F.col("_digit") if r.gate == rules.DIGIT else None
+        df = _collected(df, r.name, rules.hits(F.col("text"), r, ascii, passes), F.regexp_replace("text", r.compiled(ascii), fill(r.name)))
+    return df.drop("_digit")
 
 
 def ordered_names(names: list[str]) -> list[str]:
@@ -124,6 +127,12 @@ def stat_columns(mode: str, schema: dict) -> list[tuple[str, str]]:
     return [*out, ("NER-Name", "hits_gazetteer")]
 
 
+def those_of(ways: list[tuple[Column, Column]], kind: str) -> Column:
+    """The array of the values whose condition holds. A filter on an array of all of them would run without generated code."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*(F.when(condition, F.array(value)).otherwise(none) for condition, value in ways))
+
+
 def stats_map(mode: str, schema: dict) -> Column:
     """map of statistics key to count, without zeros."""
     totals: dict[str, list[Column]] = {}
