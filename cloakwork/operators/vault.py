@@ -73,8 +73,8 @@ def research(df: DataFrame, names: list[str], schema: dict, words: list[str] | N
     df = materialise(df, "marked")
     kinds = [(i, r.name, f"hits_{r.name}") for i, r in enumerate(rules.RULES) if "research" in r.modes] + [(KNOWN, "name", "hits_known")]
     kinds += [(FIELD + i, "generic", f"hits_field_{i}") for i in range(len(fields))] + [(GAZETTEER, "name", "hits_gazetteer")]
-    lists = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(t).alias("pii_type"), F.col(c).alias("hits")) for k, t, c in kinds))
-    found = df.select("doc_id", F.col(order).cast("long").alias("file"), F.explode(F.filter(lists, lambda x: F.size(x["hits"]) > 0)).alias("l"))
+    lists = redact.those_of([(F.size(c) > 0, F.struct(F.lit(k).alias("kind"), F.lit(t).alias("pii_type"), F.col(c).alias("hits"))) for k, t, c in kinds], "struct<kind:int,pii_type:string,hits:array<string>>")
+    found = df.select("doc_id", F.col(order).cast("long").alias("file"), F.explode(lists).alias("l"))
     found = found.select("doc_id", "file", "l.kind", "l.pii_type", F.posexplode("l.hits").alias("pos", "value"))
     ord_ = lambda phase: F.struct(F.lit(phase).alias("phase"), *(F.col(c).cast("long").alias(c) for c in ("file", "kind", "pos")))
     every = found.select("pii_type", "value", ord_(1).alias("ord"))
@@ -82,11 +82,12 @@ def research(df: DataFrame, names: list[str], schema: dict, words: list[str] | N
         seeds = spark.createDataFrame([("name", n, i) for i, n in enumerate(sorted(set(names)))], "pii_type string, value string, pos long")
         every = every.union(seeds.select("pii_type", "value", F.struct(F.lit(0).alias("phase"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("kind"), "pos").alias("ord")))
     tokens = assign(every).select(F.col("pii_type").alias("t"), "key", "token")
-    told = found.join(tokens, [found["pii_type"] == tokens["t"], key(found["value"]) == tokens["key"]])
-    lists = told.groupBy("doc_id", "kind").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("tokens"))
-    lists = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.col("tokens.token").alias("tokens")))).alias("_tokens"))
+    # A column of its own: as a condition the digest would be taken again at each comparison of the join's sort.
+    keyed = found.select("doc_id", "kind", "pii_type", "pos", F.coalesce(key(F.col("value")), F.lit("")).alias("_key"))
+    told = keyed.join(tokens, [F.col("pii_type") == F.col("t"), F.col("_key") == F.col("key")])
+    lists = told.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("kind", "pos", "token"))).alias("_tokens"))
     out = df.join(lists.withColumnRenamed("doc_id", "_doc"), df["doc_id"].eqNullSafe(F.col("_doc")), "left").drop("_doc")
     for k, _, c in kinds:
-        put = redact.interleaved(F.split("text", MARKS[k], -1), F.element_at("_tokens", F.lit(k)))
+        put = redact.interleaved(F.split("text", MARKS[k], -1), F.transform(F.filter("_tokens", lambda x: x["kind"] == k), lambda x: x["token"]))
         out = out.withColumn("text", F.when(F.size(c) > 0, put).otherwise(F.col("text")))
     return out.drop("_tokens")

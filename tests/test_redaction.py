@@ -113,6 +113,21 @@ def test_size_guard(spark):
     assert redact.redact(docs(spark, text), "audit", words=WORDS).first()["redacted"] == text
 
 
+def test_digests_are_columns(spark):
+    """No join of research mode takes a digest in its condition, where each comparison of its sort would take it again."""
+    plan = redact.redact(docs(spark, "a@x.co"), "research")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) > 1 and not any("sha2" in line for line in joins)
+
+
+def test_scan_reads_once(spark, tmp_path):
+    """Introduced and listed names come from one pass over the documents."""
+    docs(spark, "customer Omar Stone contacted us", "Contact Priya Nair now, customer Data Portal contacted", "", None).write.parquet(f"{tmp_path}/d")
+    found = context.known_names(spark.read.parquet(f"{tmp_path}/d"), WORDS)
+    assert {r[0] for r in found.collect()} == {"Omar Stone", "Priya Nair"}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
 def test_vault(spark):
     got = {r["doc_id"]: r["redacted"] for r in redact.redact(docs(spark, "b@x.co a@x.co", "A@x.co and Priya Nair", "aarav mehta, PRIYA NAIR"), "research", names=["Priya Nair", "Aarav Mehta"]).collect()}
     assert got == {0: "[EMAIL-R001] [EMAIL-R002]", 1: "[EMAIL-R002] and [NAME-R002]", 2: "[NAME-R001], [NAME-R002]"}
